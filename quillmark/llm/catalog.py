@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quillmark.llm import cooccurrence, leaks, lookalikes, splitting
+
+_MODULES = (splitting, cooccurrence, leaks, lookalikes)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
