@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmark.llm import cooccurrence, leaks, lookalikes, splitting
+from quillmark.llm import cooccurrence, leaks, lookalikes, neardups, splitting
 
-_MODULES = (splitting, cooccurrence, leaks, lookalikes)
+_MODULES = (splitting, cooccurrence, neardups, leaks, lookalikes)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
