@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import COSINE_GATE
-from quillmark.session import table
+from quillmark.session import cut, table
 
 #: Vectors a cell has on average, and the most a shard may have by the sample's estimate.
 CELL_ROWS, SHARD_ROWS = 4096, 24_576
@@ -384,7 +384,8 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
     keyed = vectors.select("id", "vector", F.xxhash64("vector").alias("h"))
     placed = keyed.mapInArrow(place, "cell int, shard int, member boolean, ids array<string>, vec binary")
     by_shard = placed.groupBy("cell", "shard").applyInArrow(search, empty)
-    lists = by_shard.groupBy("id").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(near)))), 1, {k})").alias("near"))
+    # kept, as the lists are read twice and the graphs behind them are dear
+    lists = cut(by_shard.groupBy("id").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(near)))), 1, {k})").alias("near")))
     return lists.unionByName(_further_copies(vectors, lists))
 
 
