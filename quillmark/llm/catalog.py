@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmark.llm import cooccurrence, leaks, lookalikes, neardups, splitting, vectorgraph
+from quillmark.llm import cooccurrence, leaks, lookalikes, neardups, packing, splitting, vectorgraph
 
-_MODULES = (vectorgraph, splitting, cooccurrence, neardups, leaks, lookalikes)
+_MODULES = (vectorgraph, splitting, cooccurrence, neardups, packing, leaks, lookalikes)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
