@@ -263,6 +263,7 @@ def fit_cells(vectors: DataFrame, cell_rows: int = CELL_ROWS, shard_rows: int =
     _, values = as_matrix(got, dim)
     if not len(values):
         return None
+    values = values[np.lexsort(values.T[:8])]  # the same cells in whatever order the sample came
     unit = unit_vectors(values)
     means = spherical_means(unit, min(cells, len(unit)))
     fitted = Cells(means, np.ones(len(means), np.int64), dim)
@@ -374,6 +375,7 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
         for vec, ids, member in zip(*(group.column(c).to_pylist() for c in ("vec", "ids", "member")), strict=True):
             old = merged.get(vec)
             merged[vec] = [ids, member] if old is None else [sorted({*old[0], *ids})[:COPIES], old[1] or member]
+        merged = dict(sorted(merged.items()))  # the same graph in whatever order the rows came
         values = _from_planes(list(merged), shared.value.dim)
         names, lists = [], []
         for name, near in shard_lists(values, [m[0] for m in merged.values()], np.array([m[1] for m in merged.values()]), k, least):
