@@ -30,6 +30,8 @@ SAMPLE_PER_CELL, MAX_CELLS = 48, 2048
 CLOSURE, MAX_CELLS_OF_ROW = 0.03, 3
 #: Out-degree kept by pruning, slack before reverse edges are pruned, beam width, relaxation, queries a block.
 DEGREE, SLACK, BEAM, ALPHA, BLOCK = 24, 12, 32, 1.2, 96
+#: Neighbours from its own batch that are proposed to a node besides those found on the graph.
+BATCH_MATES = 8
 #: Ids of exact copies that travel with their vector; further copies take over the list of the last of these.
 COPIES = 6
 
@@ -165,31 +167,51 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
         batch = turn[done : done + min(done, max(512, n // 8))]
         pivots = g.pivots[:done]
         batch = batch[locality(vectors[batch], vectors[pivots])]
-        proposed = np.empty((len(batch), beam), np.int32)
+        proposed = np.full((len(batch), beam + BATCH_MATES), -1, np.int32)
         for a in range(0, len(batch), block):
             own = batch[a : a + block]
-            proposed[a : a + block] = beam_search(g, vectors[own], start_nodes(g, vectors[own], pivots), beam)[0]
+            proposed[a : a + block, :beam] = beam_search(g, vectors[own], start_nodes(g, vectors[own], pivots), beam)[0]
+            # nodes of one batch cannot meet on the graph yet; their block's nearest are proposed as well
+            mates = vectors[own] @ vectors[own].T
+            np.fill_diagonal(mates, -np.inf)
+            near = np.argsort(-mates, axis=1)[:, : min(BATCH_MATES, len(own) - 1)]
+            proposed[a : a + block, beam : beam + near.shape[1]] = own[near]
         kept = robust_prune(vectors, batch, proposed, degree, alpha)
         g.edges[batch, :degree] = kept
         source, k = np.nonzero(kept >= 0)
         _add_reverse(g, batch[source], kept[source, k], degree, alpha)
         done += len(batch)
+    _link_unreached(g)
     return g
 
 
+def _link_unreached(g: Graph) -> None:
+    """An edge to every node that pruning has left without one, from the nearest node it points to."""
+    reached = np.zeros(len(g.vectors), bool)
+    reached[g.edges[g.edges >= 0]] = True
+    for node in np.flatnonzero(~reached & (g.edges[:, 0] >= 0)):
+        near = g.edges[node, 0]
+        free = np.flatnonzero(g.edges[near] < 0)
+        g.edges[near, free[0] if len(free) else -1] = node
+
+
 def start_nodes(g: Graph, queries: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The pivots nearest to the block's queries, with the first as the common entry."""
     close = queries @ g.vectors[pivots].T
     return np.unique(np.concatenate([pivots[:1], pivots[np.unique(close.argmax(axis=1))]]))
 
 
-def search_all(g: Graph, queries: np.ndarray, k: int, beam: int = BEAM, block: int = BLOCK) -> np.ndarray:
-    """(queries, k) nearest nodes by beam search, -1 pads."""
+def search_all(g: Graph, queries: np.ndarray, k: int, beam: int = BEAM, block: int = BLOCK, nodes_of: np.ndarray | None = None) -> np.ndarray:
+    """(queries, k) nearest nodes by beam search, -1 pads. nodes_of: the node a query is itself, or -1; its
+    search starts there as well."""
     out = np.full((len(queries), k), -1, np.int32)
     order = locality(queries, g.vectors[g.pivots])
     for a in range(0, len(queries), block):
         some = order[a : a + block]
-        nodes, _ = beam_search(g, queries[some], start_nodes(g, queries[some], g.pivots), max(beam, k))
+        starts = start_nodes(g, queries[some], g.pivots)
+        if nodes_of is not None:
+            starts = np.concatenate([starts, nodes_of[some][nodes_of[some] >= 0]])
+        nodes, _ = beam_search(g, queries[some], starts, max(beam, k))
         out[some] = nodes[:, :k]
     return out
 
@@ -293,7 +315,8 @@ def shard_lists(values: np.ndarray, ids: list[list[str]], members: np.ndarray, k
     own = np.flatnonzero(members)
     graph = build_graph(np.ascontiguousarray(unit[own]))
     # beyond the k wanted, some more are compared exactly, as rounding and ids decide between equals
-    found = search_all(graph, unit, 2 * k + 2)
+    nodes_of = np.where(members, np.cumsum(members) - 1, -1)
+    found = search_all(graph, unit, 2 * k + 2, nodes_of=nodes_of)
     wide = values.astype(np.float64)
     length = np.sqrt(np.einsum("ij,ij->i", wide, wide))
     for a in range(0, len(values), 1024):
