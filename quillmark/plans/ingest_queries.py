@@ -254,7 +254,7 @@ SQL = {
     "label_membership": "select distinct id, source_id from chunks where list_contains(entities, 'Glossary') or list_contains(tags, 'infra')",
     "frontmatter_fields": f"""with n as (select doc_id, {_WRAPPED.format(s='varchar')} raw from documents)
       select doc_id, regexp_extract(raw, 'type: ([^\\n]*)', 1) note_type, regexp_extract(raw, 'captured: ([^\\n]*)', 1) captured,
-      replace(regexp_extract(raw, 'tags: \\[([^\\n]*)\\]', 1), ', ', ',') tags from n""",
+      array_to_string(list_filter(string_split(regexp_extract(raw, 'tags: \\[([^\\n]*)\\]', 1), ', '), lambda x: x <> ''), ',') tags from n""",
     "wikilinks": """select distinct source_id, md5(raw_text) version, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(
       regexp_extract_all(raw_text, '(?s)\\[\\[(.*?)\\]\\]', 1), lambda x: trim(regexp_replace(x, '(?s)[|#].*$', ''), chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> ''))), ','), '') targets from notes""",
     "fence_parity": """with n as (select distinct source_id, raw_text from notes),
