@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +64,112 @@ def ranked(scores: DataFrame, limit: int, score: str = "score") -> DataFrame:
     Spark keeps only ``limit`` rows a unit and task before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy("unit").orderBy(F.round(score, 9).desc(), F.col("id"))
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
+
+
+#: Query units scored against a batch at once, and rows of a batch scored at once.
+UNITS_PER_BLOCK, ROWS_AT_ONCE = 512, 1000
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, units: list, k: int, least: float) -> Iterator[tuple]:
+    """(unit, id, score) of the k best rows of each unit, with all that tie at the limit; score is (unit, row)."""
+    for i, unit in enumerate(units):
+        row = score[i]
+        limit = max(least, np.partition(row, -k)[-k]) if len(row) > k else least
+        for j in np.flatnonzero(row >= limit):
+            yield unit, ids[j], float(row[j])
+
+
+@dataclass
+class Bm25Block:
+    """Some query units, ready to score batches: their terms, the terms' weights, and which unit asks for which."""
+
+    units: list
+    vocabulary: list[str]
+    idf: np.ndarray
+    asked: np.ndarray
+    average: float
+    k1: float
+    b: float
+
+    def score(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(unit, row) from counts (row, term) and the rows' lengths."""
+        weight = self.idf * tf * (self.k1 + 1) / (tf + (self.k1 * (1 - self.b + self.b * length / self.average))[:, None])
+        return (weight @ self.asked).T
+
+
+def stream_best(docs: DataFrame, k: int, blocks: list[Bm25Block], unit_type: str) -> DataFrame:
+    """(unit, id, score): documents (id, text) stream by once a block of queries and are never shuffled; what
+    leaves a batch is about k rows a unit."""
+    spark = docs.sparkSession
+    worded = docs.select("id", tokens(F.col("text")).alias("words"))
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"unit {unit_type}, id {kind}, score double"
+    parts = []
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            known = pa.array(held.vocabulary, pa.string())
+            for batch in batches:
+                found: list[tuple] = []
+                for a in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.slice(a, ROWS_AT_ONCE)
+                    words = part.column(1)
+                    row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                    column = pc.index_in(words.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    length = np.bincount(row, minlength=len(part)).astype(float)
+                    row, column = row[column >= 0], column[column >= 0]
+                    counts = np.bincount(row * len(known) + column, minlength=len(part) * len(known)).reshape(len(part), len(known))
+                    # the score of a match is positive; equal to nine decimals means equal
+                    scores = np.round(held.score(counts.astype(float), length), 9)
+                    found += best_of(scores, np.array(part.column(0).to_pylist(), object), held.units, k, 1e-9)
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, run.types, strict=True)], names=["unit", "id", "score"])
+
+        run.types = [arrow_type(unit_type), arrow_type(kind), pa.float64()]
+        parts.append(worded.mapInArrow(run, schema))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    return {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+
+def query_blocks(queries: DataFrame) -> Iterator[tuple[list, list[list[str]]]]:
+    """(units, their distinct terms) of the stated query set, some units at a time."""
+    blocks = max(1, -(-queries.count() // UNITS_PER_BLOCK))
+    for block in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("unit"), F.lit(blocks)) == block).select("unit", tokens(F.col("query")).alias("words")).collect()
+        if got:
+            yield [r.unit for r in got], [list(r.words) for r in got]
+
+
+def bm25_best(docs: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """(unit, id, score) with at least the k best rows of every unit by BM25 (rank them with ``ranked``).
+
+    docs: (id, text), whose statistics count; within: those searched, all unless given. Document frequencies
+    are counted for the queries' terms only, by partial aggregation, so no postings are shuffled.
+    """
+    worded = docs.select(tokens(F.col("text")).alias("words"))
+    total, average = worded.agg(F.count("*"), F.avg(F.size("words"))).first()
+    average = float(average or 0) or 1.0
+    blocks = []
+    for units, terms in query_blocks(queries):
+        vocabulary = {w: i for i, w in enumerate(sorted({w for t in terms for w in t}))}
+        if not vocabulary:
+            continue
+        wanted = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "term string")
+        seen = worded.select(F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        df = np.zeros(len(vocabulary))
+        for r in seen.collect():  # at most the block's own terms
+            df[vocabulary[r.term]] = r.df
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        asked = np.zeros((len(vocabulary), len(units)))
+        for i, t in enumerate(terms):
+            asked[[vocabulary[w] for w in set(t)], i] = 1
+
+        blocks.append(Bm25Block(units, list(vocabulary), idf, asked, average, k1, b))
+    return stream_best(docs if within is None else within, k, blocks, queries.schema["unit"].dataType.simpleString())

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.config import EMBED_DIM
 from quillmark.functions.columns import cosine
-from quillmark.operators.lexical import tokens
+from quillmark.operators.embedders import HashEmbedder
+from quillmark.operators.lexical import ROWS_AT_ONCE, arrow_type, best_of, query_blocks, tokens
 
 #: Query vectors compared with all rows at once; more go in further blocks.
 QUERIES_PER_BLOCK = 4096
@@ -84,6 +88,43 @@ def hash_embedding(df: DataFrame, id_column: str, text_column: str, dim: int = E
     return counts.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
 
 
+def hash_best(docs: DataFrame, queries: DataFrame, k: int, dim: int = EMBED_DIM) -> DataFrame:
+    """(unit, id, score) with at least the k most similar documents (id, text) of every query unit (unit, query)
+    by hashed word counts. Documents stream by; only buckets that some query of the block has matter, and the
+    document's length over all its buckets."""
+    blocks = []
+    for units, terms in query_blocks(queries):
+        asked = HashEmbedder(dim).embed([" ".join(t) for t in terms])
+        blocks.append((units, asked))
+    spark = docs.sparkSession
+    worded = docs.select("id", F.transform(tokens(F.col("text")), lambda w: hash_bucket(w, dim).cast("int")).alias("buckets"))
+    kind, unit_kind = docs.schema["id"].dataType.simpleString(), queries.schema["unit"].dataType.simpleString()
+    schema = f"unit {unit_kind}, id {kind}, score double"
+    parts = []
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            units, asked = shared.value
+            for batch in batches:
+                found: list[tuple] = []
+                for a in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.slice(a, ROWS_AT_ONCE)
+                    row = pc.list_parent_indices(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    bucket = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                    counts = np.bincount(row * dim + bucket, minlength=len(part) * dim).reshape(len(part), dim).astype(float)
+                    unit = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-12)[:, None]
+                    found += best_of(np.round(asked @ unit.T, 9), np.array(part.column(0).to_pylist(), object), units, k, 1e-9)
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, run.types, strict=True)], names=["unit", "id", "score"])
+
+        run.types = [arrow_type(unit_kind), arrow_type(kind), pa.float64()]
+        parts.append(worded.mapInArrow(run, schema))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sparse_cosine(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """(unit, id, score) over sparse unit vectors: rows (id, bucket, value), queries (unit, bucket, value)."""
     q = queries.select("unit", "bucket", F.col("value").alias("q"))

@@ -59,8 +59,13 @@ def hybrid_ranks(vector_scores: DataFrame, lexical_scores: DataFrame, limit: int
 def hashed_hybrid(docs: DataFrame, queries: DataFrame, limit: int, leg_limit: int | None = None, predicate: str | None = None) -> DataFrame:
     """Hybrid ranking with the hashing embedder; docs (id, text, ...), queries (unit, query)."""
     kept = apply_filter(docs, predicate)
-    rows = vector.hash_embedding(kept, "id", "text")
-    asked = vector.hash_embedding(queries, "unit", "query").withColumnRenamed("id", "unit")
-    scores = vector.sparse_cosine(rows, asked)
-    index = lexical.build_lexical_index(docs)
-    return hybrid_ranks(scores, lexical.bm25_scores(index, queries, kept if predicate else None), limit, leg_limit).join(scores.select("unit", "id", F.col("score").alias("cosine")), ["unit", "id"], "left")
+    depth = leg_limit or limit
+    near = vector.hash_best(kept, queries, depth)
+    words = lexical.bm25_best(docs, queries, depth, kept if predicate else None)
+    fused = hybrid_ranks(near, words, limit, leg_limit)
+    # the cosine is worked out for the few rows that are left
+    picked = docs.join(fused.select("id").distinct(), "id", "left_semi")
+    asked = vector.hash_embedding(queries, "unit", "query").select(F.col("id").alias("unit"), "bucket", F.col("value").alias("q"))
+    rows = fused.select("unit", "id").join(vector.hash_embedding(picked, "id", "text"), "id")
+    cosine = rows.join(asked, ["unit", "bucket"]).groupBy("unit", "id").agg(F.sum(F.col("value") * F.col("q")).alias("cosine"))
+    return fused.join(cosine, ["unit", "id"], "left")

@@ -60,13 +60,18 @@ def q_knn_expression(spark: S, d: str) -> DataFrame:
 
 
 def q_bm25_topk(spark: S, d: str) -> DataFrame:
+    return _rounded(lexical.ranked(lexical.bm25_best(_docs(spark, d), _queries(spark, d), K), K))
+
+
+def q_bm25_postings(spark: S, d: str) -> DataFrame:
+    """The same ranking by joins on postings, inside the JVM, as the engine does it on its stored index."""
     return _rounded(lexical.ranked(lexical.bm25_scores(lexical.build_lexical_index(_docs(spark, d)), _queries(spark, d)), K))
 
 
 def q_bm25_prefilter(spark: S, d: str) -> DataFrame:
     docs = _docs(spark, d)
     kept = search.apply_filter(docs, "lang = 'en' AND rating >= 4")
-    return _rounded(lexical.ranked(lexical.bm25_scores(lexical.build_lexical_index(docs), _queries(spark, d), kept), K))
+    return _rounded(lexical.ranked(lexical.bm25_best(docs, _queries(spark, d), K, kept), K))
 
 
 def q_bm25_statistics(spark: S, d: str) -> DataFrame:
@@ -289,6 +294,7 @@ SQL = {
     "knn_expression": _HIT_COLS.format(_RANK.format(_PAIR_SCORES, K)),
     "knn_prefilter": _HIT_COLS.format(_RANK.format(_LABELLED, K)),
     "bm25_topk": _HIT_COLS.format(_RANK.format("select * from " + _BM25.replace("@where@", ""), K)),
+    "bm25_postings": _HIT_COLS.format(_RANK.format("select * from " + _BM25.replace("@where@", ""), K)),
     "bm25_prefilter": _HIT_COLS.format(_RANK.format("select * from " + _BM25.replace("@where@", "where id in (select doc_id from documents where lang = 'en' and rating >= 4)"), K)),
     "bm25_statistics": f"""with t as (select doc_id, {_WORDS.format('text')} w from documents), c as (select count(*) docs, avg(len(w)) av from t)
       select term, count(*)::bigint df, any_value(docs)::bigint docs, round(any_value(av), 6) avg_len from (select distinct doc_id, unnest(w) term from t), c group by 1""",
