@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from quillmark.config import (
     ANN_THRESHOLD_ROWS, COSINE_GATE, DEFAULT_K, ENVELOPE_PREFIXES, MAX_K, RECALL_DEPTH_FACTOR, RECALL_HITS, RECALL_MAX_UNITS, SEARCH_MAX_UNITS, Root, root_of_path,
 )
 from quillmark.functions.text import WHITE_SPACE, is_blank
-from quillmark.operators import changes, fusion, lexical, render, vector
+from quillmark.operators import ann, changes, fusion, lexical, render, vector
 from quillmark.operators.embedders import Embedder, HashEmbedder, with_vectors
 from quillmark.plans.indexing import IndexStats, apply_changes
 from quillmark.plans.search import apply_filter, hybrid_ranks, unit_rows
@@ -44,7 +45,8 @@ def clamp_k(k: object) -> int:
 class Engine:
     """One warehouse over configured roots."""
 
-    def __init__(self, spark: SparkSession, roots: list[Root], warehouse: str, embedder: Embedder | None = None, log_directory: str | None = None):
+    def __init__(self, spark: SparkSession, roots: list[Root], warehouse: str, embedder: Embedder | None = None, log_directory: str | None = None, ann_threshold: int = ANN_THRESHOLD_ROWS):
+        self.ann_threshold = ann_threshold
         self.spark, self.roots, self.embedder = spark, roots, embedder or HashEmbedder()
         self.store = SnapshotStore(spark, warehouse)
         self.log_directory = log_directory
@@ -67,7 +69,7 @@ class Engine:
         labels = self.spark.createDataFrame([(root.label,)], "label string")
         on_disk = files.select(F.concat("label", F.lit(":"), "rel_path").alias("source_id"))
         gone = changes.orphans(self.store.read("manifest"), on_disk, labels)
-        return apply_changes(self.store, files, gone, self.embedder, _now(), full, root.label)
+        return apply_changes(self.store, files, gone, self.embedder, _now(), full, root.label, self.ann_threshold)
 
     def index_paths(self, paths: list[str], full: bool = False) -> IndexStats:
         """Indexes exactly these paths, each under the first root that holds it; those that are gone are dropped,
@@ -86,12 +88,12 @@ class Engine:
         if not present and not gone:
             return IndexStats()
         files = self.spark.createDataFrame(present, schemas.FILES)
-        return apply_changes(self.store, files, self.spark.createDataFrame(gone, "source_id string"), self.embedder, _now(), full)
+        return apply_changes(self.store, files, self.spark.createDataFrame(gone, "source_id string"), self.embedder, _now(), full, ann_threshold=self.ann_threshold)
 
     def purge_root(self, label: str) -> IndexStats:
         """Drops all rows of a root, configured or not; a sweep never does that for roots taken from the configuration."""
         gone = self.store.read("manifest").where(F.col("source_type") == label).select("source_id")
-        return apply_changes(self.store, self.spark.createDataFrame([], schemas.FILES), gone, self.embedder, _now())
+        return apply_changes(self.store, self.spark.createDataFrame([], schemas.FILES), gone, self.embedder, _now(), ann_threshold=self.ann_threshold)
 
     # ---- search
 
@@ -103,7 +105,7 @@ class Engine:
         chunks = self.store.read("chunks")
         kept = apply_filter(chunks, predicate)
         asked = with_vectors(units, "query", self.embedder, "query_vector", query=True)
-        near = vector.nearest(kept, asked, limit)
+        near = self._near(kept, asked, limit, predicate is not None)
         index = lexical.LexicalIndex(self.store.read("postings"), None, None)
         corpus = index.postings.select("id", "len").distinct().agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
         index = lexical.LexicalIndex(index.postings, index.postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
@@ -119,6 +121,14 @@ class Engine:
             *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "rel_path", "heading_path", "captured", "source_type", "text")),
         )
 
+    def _near(self, kept: DataFrame, asked: DataFrame, limit: int, filtered: bool) -> DataFrame:
+        """The vector leg: through the cells where there are any, else over all rows. A filter decides which
+        rows count before any are ranked; with one, all that is left is compared exactly."""
+        if filtered or not self.store.exists("cells"):
+            return vector.nearest(kept, asked, limit)
+        table = self.store.read("centroids").orderBy("cell").toPandas()
+        return ann.probed(self.store.read("cells"), ann.Cells(np.stack(table["centroid"].to_numpy())), asked, limit)
+
     def search(self, query: str, k: object = DEFAULT_K, predicate: str | None = None) -> DataFrame:
         """The k best hits, by cosine. A long query is searched piece by piece; a blank one finds nothing."""
         k = clamp_k(k)
@@ -185,8 +195,8 @@ class Engine:
         return self.spark.createDataFrame(self.store.rows_by_root([r.label for r in self.roots]), "label string, rows bigint, error string")
 
     def access_path(self) -> str:
-        """How vectors are searched: all of them up to a number of rows, beyond it candidates first."""
-        return "flat scan" if self.store.read("chunks").count() < ANN_THRESHOLD_ROWS else "candidates"
+        """How vectors are searched: all of them up to a number of rows, beyond it by cells."""
+        return "cells" if self.store.exists("cells") else "flat scan"
 
 
 def _now() -> str:

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.config import ANN_THRESHOLD_ROWS
 from quillmark.functions.columns import chunk_id, content_hash, file_stem, source_id
-from quillmark.operators import changes, lexical, merge
+from quillmark.operators import ann, changes, lexical, merge
 from quillmark.operators.embedders import Embedder, with_vectors
 from quillmark.operators.segment import _expand
 from quillmark.session import cut
@@ -64,7 +65,7 @@ def chunk_files(files: DataFrame, embedder: Embedder) -> DataFrame:
     )
 
 
-def apply_changes(store: SnapshotStore, files: DataFrame, gone: DataFrame, embedder: Embedder, at: str, force: bool = False, label: str = "") -> IndexStats:
+def apply_changes(store: SnapshotStore, files: DataFrame, gone: DataFrame, embedder: Embedder, at: str, force: bool = False, label: str = "", ann_threshold: int = ANN_THRESHOLD_ROWS) -> IndexStats:
     """Indexes the files (label, rel_path, content) whose content is new and drops those gone (source_id):
     one merge, one commit of chunks, postings and manifest together."""
     hashed = hashed_files(files)
@@ -85,7 +86,19 @@ def apply_changes(store: SnapshotStore, files: DataFrame, gone: DataFrame, embed
     # postings of untouched chunks are kept; only those of the chunks that come or go are made anew
     old_ids = store.read("chunks").join(scope, "source_id", "left_semi").select("id")
     postings = store.read("postings").join(old_ids.unionByName(new.select("id")).distinct(), "id", "left_anti").unionByName(lexical.build_lexical_index(new).postings.select("id", "len", "term", "tf"))
-    store.commit(chunks=chunks, manifest=kept, postings=postings)
+    extra, drop, how = vector_index(store.spark, chunks, ann_threshold)
+    store.commit(drop, chunks=chunks, manifest=kept, postings=postings, **extra)
     prefix = f"{label}: " if label else ""
-    stats.indexes = [f"{prefix}postings", f"{prefix}partitions by source_type"]
+    stats.indexes = [f"{prefix}postings", f"{prefix}partitions by source_type", f"{prefix}{how}"]
     return stats
+
+
+def vector_index(spark, chunks: DataFrame, threshold: int) -> tuple[dict[str, DataFrame], tuple[str, ...], str]:
+    """(tables to commit, tables to drop, what was made): vectors by cell from ``threshold`` rows on."""
+    rows = chunks.select("id", "vector")
+    cells = ann.fit_cells(rows) if rows.count() >= threshold else None
+    if cells is None:
+        return {}, ("cells", "centroids"), "flat scan"
+    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(cells.centroids)], "cell int, centroid array<double>")
+    celled = ann.with_cells(rows, cells).where("cell is not null").select("id", "vector", "cell").repartition("cell")
+    return {"cells": celled, "centroids": centroids}, (), f"{len(cells.centroids)} cells"

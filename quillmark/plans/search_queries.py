@@ -20,6 +20,17 @@ K = 5
 DEPTH = 12
 
 
+def q_ann_candidates(spark: S, d: str) -> DataFrame:
+    """The exact ranking's rows, found through cells (I4)."""
+    from quillmark.operators import ann
+
+    rows, queries = _vectors(spark, d)
+    cells = ann.fit_cells(rows)
+    if cells is None:
+        return q_cosine_topk(spark, d)
+    return _rounded(lexical.ranked(ann.probed(ann.with_cells(rows, cells), cells, queries, K), K))
+
+
 def _docs(spark: S, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "rating")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark import schemas
 
-TABLES = {"chunks": schemas.CHUNKS.replace(" not null", ""), "manifest": schemas.MANIFEST, "postings": "id string, len int, term string, tf bigint"}
+TABLES = {"chunks": schemas.CHUNKS.replace(" not null", ""), "manifest": schemas.MANIFEST, "postings": "id string, len int, term string, tf bigint", "cells": "id string, vector array<float>, cell int", "centroids": "cell int, centroid array<double>"}
 POINTER = "_CURRENT"
 
 
@@ -50,14 +50,14 @@ class SnapshotStore:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.directory}/{where}")
 
-    def commit(self, **tables: DataFrame) -> dict[str, str]:
-        """New snapshots of the given tables, made visible together."""
-        new = dict(self.versions())
+    def commit(self, drop: tuple[str, ...] = (), **tables: DataFrame) -> dict[str, str]:
+        """New snapshots of the given tables, made visible together; tables in ``drop`` are there no more."""
+        new = {k: v for k, v in self.versions().items() if k not in drop}
         stamp = uuid.uuid4().hex[:12]
         for name, df in tables.items():
             writer = df.write.mode("errorifexists")
-            if "source_type" in df.columns:
-                writer = writer.partitionBy("source_type")  # a root's rows are read and counted alone
+            if by := next((c for c in ("source_type", "cell") if c in df.columns and name != "centroids"), None):
+                writer = writer.partitionBy(by)  # a root's rows are counted alone; a search reads the cells it probes
             writer.parquet(f"{self.directory}/{name}/v={stamp}")
             new[name] = f"{name}/v={stamp}"
         draft = self._path(f"{POINTER}.{stamp}")

@@ -117,3 +117,11 @@ def test_pointer_names_both_tables(engine):
 @pytest.mark.parametrize(("asked", "k"), [(None, 3), ("7", 3), (-1, 3), (0, 1), (1, 1), (10, 10), (11, 10), (True, 3)])
 def test_k(asked, k):
     assert clamp_k(asked) == k
+
+
+def test_vectors_by_cell_from_a_threshold_on(spark, engine, tmp_path):
+    engine.ann_threshold = 3
+    assert engine.index_root(engine.roots[0]).indexes[-1] == "notes: 1 cells" and engine.access_path() == "cells"
+    assert [h.rel_path for h in engine.search("routers forward packets", 1).collect()] == ["sub/_draft.md"]
+    os.remove(tmp_path / "notes/sub/_draft.md")
+    assert engine.index_root(engine.roots[0]).indexes[-1] == "notes: flat scan" and engine.access_path() == "flat scan"

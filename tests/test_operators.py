@@ -143,6 +143,23 @@ def test_nearest_skips_unusable_vectors(spark):
     assert nearest(rows, q.limit(0), 2).count() == 0 and nearest(rows.limit(0), q, 2).count() == 0
 
 
+def test_cells_find_most_of_what_a_full_scan_finds(spark):
+    import numpy as np
+
+    from quillmark.operators import ann
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(40, size=6000)] + 0.3 * rng.normal(size=(6000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None), (-2, [0.0] * 16)], "id int, vector array<float>")
+    queries = rows.where("id % 50 = 0 and id >= 0").select(F.col("id").alias("unit"), F.col("vector").alias("query_vector"))
+    cells = ann.fit_cells(rows)
+    got = ranked(ann.probed(ann.with_cells(rows, cells), cells, queries, 5, probes=3), 5).collect()
+    exact = {(r.unit, r.id) for r in ranked(nearest(rows, queries, 5), 5).collect()}
+    assert len(cells.centroids) == 5 and len({(r.unit, r.id) for r in got} & exact) >= 0.9 * len(exact)
+    assert ann.fit_cells(rows.limit(0)) is None
+
+
 def test_routing_and_debounce(spark):
     roots = spark.createDataFrame([("in", "/k/in", 1), ("all", "/k", 0)], "label string, dir string, ord int")
     paths = spark.createDataFrame([("/k/in/a.md",), ("/kx/a.md",), ("/k/b.md",)], "path string")
