@@ -38,6 +38,10 @@ INVISIBLE = (
 # Blanks of any width; a line's end is none of them.
 BLANKS = r"[\t\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2800}]"
 LINE_ENDS = r"\r\n|[\r\x{0085}\x{2028}\x{2029}]"
+# A joiner between two pictographs makes them one, which is seen; elsewhere it is invisible.
+PICTOGRAPH = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
+JOINED = rf"({PICTOGRAPH}\x{{FE0F}}?)\x{{200D}}({PICTOGRAPH})"
+_JOINER = "\uf8ff"
 
 #: Kinds of compatibility mapping that keep the look; superscripts, circles, fractions and the like change it.
 _SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
@@ -73,7 +77,10 @@ def canonical_sql(column: str) -> str:
     """DuckDB expression for the canonical form of a text column."""
     one, more = presentation_forms()
     sql = f"regexp_replace({column}, '{LINE_ENDS}', chr(10), 'g')"
+    for _ in range(2):  # matches do not overlap: of a row of joined pictographs the second pass takes the rest
+        sql = f"regexp_replace({sql}, '{JOINED}', '\\1{_JOINER}\\2', 'g')"
     sql = f"regexp_replace({sql}, '{INVISIBLE}', '', 'g')"
+    sql = f"replace({sql}, '{_JOINER}', '\u200d')"
     sql = f"regexp_replace({sql}, '{BLANKS}', ' ', 'g')"
     for form, plain in more.items():
         if ord(form) in _LIGATURES:

@@ -229,6 +229,12 @@ def test_what_a_reader_sees_stays(spark):
     assert forms(spark, []) == []
 
 
+def test_joined_pictographs_are_seen(spark):
+    family, apart = "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f468\U0001f469\U0001f467"
+    a, b, c, d = forms(spark, [family, apart, apart + "\u200d", "a\u200d" + apart])
+    assert a == family != b and b == c and d == "a" + apart
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "café"), (2, "café"), (3, "café"), (4, "cafe"), (5, None), (None, "café"), (2, "café"), (6, ""), (7, "​")]
     df = spark.createDataFrame(rows, "id bigint, text string").withColumn("form", F.lit(1)).withColumn("f1", F.lit(2))
