@@ -27,7 +27,7 @@ CELL_ROWS, SHARD_ROWS = 4096, 24_576
 #: The centroids are fitted on at most this many vectors for each of at most so many cells.
 SAMPLE_PER_CELL, MAX_CELLS = 48, 2048
 #: A vector also belongs to the next cells whose centroid is nearly as similar.
-CLOSURE, MAX_CELLS_OF_ROW = 0.03, 3
+CLOSURE, MAX_CELLS_OF_ROW = 0.05, 3
 #: Out-degree kept by pruning, slack before reverse edges are pruned, beam width, relaxation, queries a block.
 DEGREE, SLACK, BEAM, ALPHA, BLOCK = 24, 12, 32, 1.2, 96
 #: Neighbours from its own batch that are proposed to a node besides those found on the graph.
