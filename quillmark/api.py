@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -106,9 +107,10 @@ class Engine:
         kept = apply_filter(chunks, predicate)
         asked = with_vectors(units, "query", self.embedder, "query_vector", query=True)
         near = self._near(kept, asked, limit, predicate is not None)
-        index = lexical.LexicalIndex(self.store.read("postings"), None, None)
-        corpus = index.postings.select("id", "len").distinct().agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-        index = lexical.LexicalIndex(index.postings, index.postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
+        # only the query's terms are read: postings are stored in term order, so the scan skips the rest
+        asked_terms = sorted({w for r in units.collect() for w in words_of(r.query)})
+        postings = self.store.read("postings").where(F.col("term").isin(asked_terms))
+        index = lexical.LexicalIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), self.store.read("corpus"))
         words = lexical.bm25_scores(index, units, kept if predicate else None)
         ranked = hybrid_ranks(near, words, limit)
         # few rows are left: their chunks come by join, their cosine exactly
@@ -199,5 +201,10 @@ class Engine:
         return "cells" if self.store.exists("cells") else "flat scan"
 
 
+def words_of(text: str) -> list[str]:
+    """What ``lexical.tokens`` gives for a text."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def _now() -> str:
     return datetime.now(UTC).astimezone().isoformat()

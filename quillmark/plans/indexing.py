@@ -86,8 +86,12 @@ def apply_changes(store: SnapshotStore, files: DataFrame, gone: DataFrame, embed
     # postings of untouched chunks are kept; only those of the chunks that come or go are made anew
     old_ids = store.read("chunks").join(scope, "source_id", "left_semi").select("id")
     postings = store.read("postings").join(old_ids.unionByName(new.select("id")).distinct(), "id", "left_anti").unionByName(lexical.build_lexical_index(new).postings.select("id", "len", "term", "tf"))
+    # the lengths of all chunks are summed up once a commit, not once a search
+    lengths = postings.select("id", "len").distinct().agg(F.sum("len").alias("words"))
+    corpus = chunks.agg(F.count("*").alias("docs")).crossJoin(F.broadcast(lengths)).select("docs", F.coalesce(F.col("words") / F.greatest("docs", F.lit(1)), F.lit(0.0)).alias("avg_len"))
+    postings = postings.repartitionByRange("term").sortWithinPartitions("term")
     extra, drop, how = vector_index(store.spark, chunks, ann_threshold)
-    store.commit(drop, chunks=chunks, manifest=kept, postings=postings, **extra)
+    store.commit(drop, chunks=chunks, manifest=kept, postings=postings, corpus=corpus, **extra)
     prefix = f"{label}: " if label else ""
     stats.indexes = [f"{prefix}postings", f"{prefix}partitions by source_type", f"{prefix}{how}"]
     return stats

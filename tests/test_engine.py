@@ -110,7 +110,7 @@ def test_paths_and_stream(engine, tmp_path):
 def test_pointer_names_both_tables(engine):
     engine.index()
     at = engine.store.versions()
-    assert set(at) == {"chunks", "manifest", "postings"} and len({v.split("=")[1] for v in at.values()}) == 1
+    assert set(at) == {"chunks", "manifest", "postings", "corpus"} and len({v.split("=")[1] for v in at.values()}) == 1
     assert json.dumps(at)
 
 
@@ -125,3 +125,39 @@ def test_vectors_by_cell_from_a_threshold_on(spark, engine, tmp_path):
     assert [h.rel_path for h in engine.search("routers forward packets", 1).collect()] == ["sub/_draft.md"]
     os.remove(tmp_path / "notes/sub/_draft.md")
     assert engine.index_root(engine.roots[0]).indexes[-1] == "notes: flat scan" and engine.access_path() == "flat scan"
+
+
+def test_debounce_as_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillmark.streaming.watch import debounced
+
+    rows = [("p", 0), ("p", 3), ("p", 8), ("q", 1), ("z", 9000)]
+    spark.createDataFrame(rows, "path string, s int").select("path", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path / "events"))
+    q = debounced(stream).writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    # the last burst stays open: the watermark has not passed it
+    assert sorted((r.path, r.events) for r in spark.table("bursts").collect()) == [("p", 1), ("p", 2), ("q", 1)]
+
+
+def test_serving(engine):
+    from quillmark import serving
+
+    engine.index()
+    assert json.loads(serving.answer(engine, "nonsense"))["message"].startswith("bad request")
+    assert json.loads(serving.answer(engine, '{"op": "fly"}'))["status"] == "error"
+    assert json.loads(serving.answer(engine, '{"op": "ping"}'))["status"] == "pong"
+    hits = json.loads(serving.answer(engine, '{"op": "search", "query": "routers forward packets", "k": 1}'))["hits"]
+    assert [h["rel_path"] for h in hits] == ["sub/_draft.md"] and "notes:sub/_draft.md > Draft" in serving.hit_lines(hits)
+    assert json.loads(serving.answer(engine, '{"op": "search", "query": "x", "filter": "1 +"}'))["status"] == "error"
+    assert json.loads(serving.answer(engine, '{"op": "recall", "prompt": ""}')) == {"status": "pointers", "pointers": [], "top_cosine": None}
+    call = lambda m, **p: serving.rpc_reply(engine, json.dumps({"jsonrpc": "2.0", "id": 1, "method": m, "params": p}))
+    assert call("nope")["error"]["code"] == -32601 and serving.rpc_reply(engine, "{") is None
+    assert serving.rpc_reply(engine, '{"method": "notifications/initialized"}') is None
+    assert len(call("tools/list")["result"]["tools"]) == 2
+    assert call("tools/call", name="notes_search", arguments={"query": " "})["result"] == {"content": [{"type": "text", "text": "query is required"}], "isError": True}
+    assert "## notes:" in call("tools/call", name="notes_search", arguments={"query": "routers", "k": 1})["result"]["content"][0]["text"]
+    assert call("tools/call", name="notes_status")["result"]["content"][0]["text"] == "memory: 1 rows\nnotes: 3 rows"
+    assert serving.status_lines([{"label": "a", "rows": None, "error": "x"}]) == ("a: error: x", False)
+    assert serving.hook_output(engine, "{}") == "" and serving.hook_output(engine, '{"prompt": "<task-notification>"}') == ""
