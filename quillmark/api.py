@@ -129,7 +129,8 @@ class Engine:
         if filtered or not self.store.exists("cells"):
             return vector.nearest(kept, asked, limit)
         table = self.store.read("centroids").orderBy("cell").toPandas()
-        return ann.probed(self.store.read("cells"), ann.Cells(np.stack(table["centroid"].to_numpy())), asked, limit)
+        span = table[["least", "most"]].to_numpy(np.float64, na_value=np.nan)  # unknown in snapshots of before
+        return ann.probed(self.store.read("cells"), ann.Cells(np.stack(table["centroid"].to_numpy()), span), asked, limit)
 
     def search(self, query: str, k: object = DEFAULT_K, predicate: str | None = None) -> DataFrame:
         """The k best hits, by cosine. A long query is searched piece by piece; a blank one finds nothing."""

@@ -13,7 +13,7 @@ from quillmark.operators import ann, changes, lexical, merge
 from quillmark.operators.embedders import Embedder, with_vectors
 from quillmark.operators.segment import _expand
 from quillmark.session import cut
-from quillmark.sources.store import SnapshotStore
+from quillmark.sources.store import TABLES, SnapshotStore
 
 
 @dataclass
@@ -103,6 +103,6 @@ def vector_index(spark, chunks: DataFrame, threshold: int) -> tuple[dict[str, Da
     cells = ann.fit_cells(rows) if rows.count() >= threshold else None
     if cells is None:
         return {}, ("cells", "centroids"), "flat scan"
-    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(cells.centroids)], "cell int, centroid array<double>")
+    centroids = spark.createDataFrame([(i, c.tolist(), *span.tolist()) for i, (c, span) in enumerate(zip(cells.centroids, cells.span, strict=True))], TABLES["centroids"])
     celled = ann.with_cells(rows, cells).where("cell is not null").select("id", "vector", "cell").repartition("cell")
     return {"cells": celled, "centroids": centroids}, (), f"{len(cells.centroids)} cells"

@@ -21,7 +21,7 @@ DEPTH = 12
 
 
 def q_ann_candidates(spark: S, d: str) -> DataFrame:
-    """The exact ranking's rows, found through cells (I4)."""
+    """The exact ranking's rows, found through cells (I4): those a bound rules out are left out."""
     from quillmark.operators import ann
 
     rows, queries = _vectors(spark, d)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark import schemas
 
-TABLES = {"chunks": schemas.CHUNKS.replace(" not null", ""), "manifest": schemas.MANIFEST, "postings": "id string, len int, term string, tf bigint", "corpus": "docs bigint, avg_len double", "cells": "id string, vector array<float>, cell int", "centroids": "cell int, centroid array<double>"}
+TABLES = {"chunks": schemas.CHUNKS.replace(" not null", ""), "manifest": schemas.MANIFEST, "postings": "id string, len int, term string, tf bigint", "corpus": "docs bigint, avg_len double", "cells": "id string, vector array<float>, cell int", "centroids": "cell int, centroid array<double>, least double, most double"}
 POINTER = "_CURRENT"
 
 

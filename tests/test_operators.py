@@ -160,6 +160,30 @@ def test_cells_find_most_of_what_a_full_scan_finds(spark):
     assert ann.fit_cells(rows.limit(0)) is None
 
 
+def test_cells_find_all_that_a_full_scan_finds(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmark.operators import ann
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    near = centres[rng.integers(60, size=10_000)] + 0.1 * rng.normal(size=(10_000, 32))
+    x = np.concatenate([near, rng.normal(size=(25_000, 32))]).astype(np.float32)  # half is close together, the rest is not
+    rows = spark.createDataFrame(pa.table({"id": pa.array(range(len(x)), pa.int32()), "vector": list(x)})).cache()
+    queries = rows.where("id % 500 = 0").select(F.col("id").alias("unit"), F.col("vector").alias("query_vector"))
+    cells = ann.fit_cells(rows)
+    celled = ann.with_cells(rows, cells)
+    assert len(cells.centroids) == 34 > 2 * ann.PROBES
+    exact = {(r.unit, r.rank, r.id) for r in ranked(nearest(rows, queries, 5), 5).collect()}
+    assert {(r.unit, r.rank, r.id) for r in ranked(ann.probed(celled, cells, queries, 5), 5).collect()} == exact
+    # cells whose spans are not known are all read; of the others a query among close rows needs few
+    unknown = ann.Cells(cells.centroids)
+    assert {(r.unit, r.rank, r.id) for r in ranked(ann.probed(celled, unknown, queries, 5), 5).collect()} == exact
+    q = near[:1] / np.linalg.norm(near[:1])
+    assert cells.needed(q, np.array([-np.inf])).all() and cells.needed(q, np.array([0.999])).sum() < 34
+
+
 def test_routing_and_debounce(spark):
     roots = spark.createDataFrame([("in", "/k/in", 1), ("all", "/k", 0)], "label string, dir string, ord int")
     paths = spark.createDataFrame([("/k/in/a.md",), ("/kx/a.md",), ("/k/b.md",)], "path string")
