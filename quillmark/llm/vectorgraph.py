@@ -309,22 +309,59 @@ def _from_planes(packed: list[bytes], dim: int) -> np.ndarray:
     return np.ascontiguousarray(turned).reshape(len(packed), 4 * dim).view(np.float32)
 
 
+def shared_directions(unit: np.ndarray, seed: int = 13) -> np.ndarray:
+    """Which of the vectors point the way another one does, told by four projections."""
+    turned = np.round(unit.astype(np.float64) @ np.random.default_rng(seed).normal(size=(unit.shape[1], 4)), 5)
+    _, at, count = np.unique(turned, axis=0, return_inverse=True, return_counts=True)
+    return (count > 1)[at.ravel()]
+
+
+def scan_nodes(wide: np.ndarray, length: np.ndarray, own: np.ndarray, first_ids: list[str], rows: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n) nodes by comparing the rows with all of them: by rounded cosine, then by smallest id; -1 pads."""
+    rank = np.empty(len(own), np.int64)
+    rank[sorted(range(len(own)), key=first_ids.__getitem__)] = np.arange(len(own))
+    nodes, out = wide[own], np.full((len(rows), n), -1, np.int32)
+    for a in range(0, len(rows), 64):
+        some = rows[a : a + 64]
+        cosine = wide[some] @ nodes.T / (length[some][:, None] * length[own])
+        key = np.where(own == some[:, None], np.iinfo(np.int64).max, -np.rint(cosine * 1e6).astype(np.int64) * len(own) + rank)
+        most = min(n, len(own))
+        out[a : a + 64, :most] = np.argpartition(key, most - 1, axis=1)[:, :most]
+    return out
+
+
 def shard_lists(values: np.ndarray, ids: list[list[str]], members: np.ndarray, k: int, least: float) -> Iterator[tuple[str, list[tuple[int, str]]]]:
-    """For every id of a shard its k nearest ids there as (minus the cosine in millionths, id)."""
+    """For every id of a shard its k nearest ids there as (minus the cosine in millionths, id). A row whose list
+    the nodes found do not settle is compared with all nodes: where the last one found ties with the k-th, where
+    one that counts shares its direction with others, and where the search met too few."""
     unit = unit_vectors(values)
     own = np.flatnonzero(members)
     graph = build_graph(np.ascontiguousarray(unit[own]))
     # beyond the k wanted, some more are compared exactly, as rounding and ids decide between equals
     nodes_of = np.where(members, np.cumsum(members) - 1, -1)
-    found = search_all(graph, unit, 2 * k + 2, nodes_of=nodes_of)
+    most = 2 * k + 2
+    found = search_all(graph, unit, most, nodes_of=nodes_of)
+    shared = shared_directions(unit[own])
     wide = values.astype(np.float64)
     length = np.sqrt(np.einsum("ij,ij->i", wide, wide))
-    for a in range(0, len(values), 1024):
-        some = np.arange(a, min(a + 1024, len(values)))
+
+    def compared(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         other = np.where(found[some] >= 0, own[np.maximum(found[some], 0)], some[:, None])
         cosine = np.einsum("ijk,ik->ij", wide[other], wide[some]) / (length[other] * length[some][:, None])
-        millionths = np.rint(cosine * 1e6).astype(np.int64)
-        enough = (np.round(cosine, 6) >= least) & (found[some] >= 0) & (other != some[:, None])
+        usable = (found[some] >= 0) & (other != some[:, None])
+        return other, np.rint(cosine * 1e6).astype(np.int64), usable, (np.round(cosine, 6) >= least) & usable
+
+    for a in range(0, len(values), 1024):
+        some = np.arange(a, min(a + 1024, len(values)))
+        other, millionths, usable, enough = compared(some)
+        if len(own) > most:
+            # a millionth to spare: the order of the search is that of float
+            limit = np.maximum(np.partition(np.where(usable, millionths, -2_000_000), -k, axis=1)[:, -k], np.int64(np.floor(least * 1e6))) - 1
+            open_rows = (found[some] < 0).any(axis=1) | (np.where(usable, millionths, 2_000_000).min(axis=1) >= limit)
+            open_rows |= (shared[np.maximum(found[some], 0)] & (found[some] >= 0) & (~usable | (millionths >= limit[:, None]))).any(axis=1)
+            if open_rows.any():
+                found[some[open_rows]] = scan_nodes(wide, length, own, [ids[o][0] for o in own], some[open_rows], most)
+                other, millionths, usable, enough = compared(some)
         for i, row in enumerate(some):
             near = sorted((-int(millionths[i, j]), x) for j in np.flatnonzero(enough[i]) for x in ids[other[i, j]])
             copies = [(-1_000_000, x) for x in ids[row]] if least <= 1 else []
@@ -336,7 +373,8 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
     """(id string, near array<struct<neg:bigint,id:string>>): for every usable vector its at most k nearest
     others with a cosine of at least ``least``, nearest first; neg is minus the cosine in millionths.
 
-    The cosine is computed in double, rounded to 6 decimals; of equal ones the smaller id comes first. Null
+    The cosine is computed in double, rounded to 6 decimals; of equal ones the smaller id comes first, however
+    many are equal: what the graph leaves undecided is settled by a scan of the shard. Null
     ids, and vectors that are null, all zero, not finite, with null elements or of a length other than the
     usual one take no part. Repeated rows count once. Copies of a vector are one node that carries the
     smallest COPIES ids; further copies take the list of the last of these, which is theirs as well. A vector

@@ -72,6 +72,22 @@ def test_copies_share_the_smallest_ids(spark):
     assert got == brute(values, [r[0] for r in rows], 5, 0.75)
 
 
+@pytest.mark.parametrize("split", [{}, {"cell_rows": 120, "shard_rows": 60}])
+def test_of_many_equals_the_smallest_ids_come_first(spark, split):
+    rng = np.random.default_rng(4)
+    way = rng.normal(size=12)
+    scaled = [way * s for s in rng.permutation(np.linspace(0.5, 3, 70))]  # one direction at many lengths
+    beside = [way + 0.2 * rng.normal(size=12) for _ in range(20)]
+    # 66 directions equally near to a common one
+    even = [4.0 + (np.arange(12) == i) + (np.arange(12) == j) for i in range(12) for j in range(i)]
+    values = np.concatenate([scaled, beside, even, [np.ones(12)], clustered(200, 12, 8)]).astype(np.float32)
+    ids = [f"{i * 7919 % 100003:06d}" for i in range(len(values))]
+    got = run(spark, [(x, v.tolist(), 0, "n") for x, v in zip(ids, values, strict=True)], **split)
+    truth = brute(values, ids, 5, 0.75)
+    tied = ids[:157]
+    assert {x: got[x] for x in tied} == {x: truth[x] for x in tied}
+
+
 def test_cells_fit_a_bounded_sample(spark):
     values = clustered(2000, 8, 5)
     df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(values)], "id string, vector array<float>")
