@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.columns import instant, title_key
 from quillmark.operators.orphans import orphan_references
-from quillmark.session import parquet_rows, table
+from quillmark.operators.skew import join_unique
+from quillmark.session import table
 
 
 def month_number(ts: Column) -> Column:
@@ -19,12 +20,8 @@ def month_text(number: Column) -> Column:
     return F.format_string("%04d-%02d", F.floor(number / 12).cast("int"), (number % 12 + 1).cast("int"))
 
 
-def _key(title: Column, month: Column) -> Column:
-    return F.concat_ws("\n", title, month.cast("string"))
-
-
-def title_months(manifest: DataFrame, changes: DataFrame, horizon: int) -> DataFrame:
-    """(key) for every title and month, up to the horizon, at whose end a file of that title is there.
+def title_spans(manifest: DataFrame, changes: DataFrame, horizon: int) -> DataFrame:
+    """(title, since, until): months, up to the horizon, at whose ends a file is there, one row a span and file.
 
     Events of a file are reduced to the last of each month before anything is gathered by file, so a file
     with most of all changes is no burden. At the same instant an indexing counts as later than a removal.
@@ -40,22 +37,15 @@ def title_months(manifest: DataFrame, changes: DataFrame, horizon: int) -> DataF
     until = F.coalesce(F.lead("month").over(Window.partitionBy("source_id").orderBy("month")) - 1, F.lit(horizon))
     spans = last.withColumn("until", until).where("last.there and month <= until")
     title = title_key(F.regexp_replace("source_id", "^[^:]*:", ""))
-    return (
-        spans.select(title.alias("title"), F.explode(F.sequence("month", "until")).alias("month"))
-        .where(F.col("title") != "")
-        .select(_key(F.col("title"), F.col("month")).alias("key"))
-        .distinct()
-    )
+    return spans.select(title.alias("title"), F.col("month").alias("since"), "until").where(F.col("title") != "")
 
 
 def title_references(chunks: DataFrame, manifest: DataFrame, injections: DataFrame) -> DataFrame:
-    """(ref_table, row_key, ref_title, month, key) of every reference; null and blank titles name nothing."""
-    seen = manifest.groupBy("source_id").agg(F.max(instant(F.col("indexed_at"))).alias("ts"))
-    linked = (
-        chunks.where(F.size("entities") > 0)
-        .select("id", "source_id", "entities")
-        .join(seen, "source_id")
-        .select(F.lit("chunks").alias("ref_table"), F.col("id").alias("row_key"), F.explode("entities").alias("ref_title"), "ts")
+    """(ref_table, row_key, ref_title, month, title) of every reference; null and blank titles name nothing."""
+    seen = manifest.where("source_id is not null").groupBy("source_id").agg(F.max(instant(F.col("indexed_at"))).alias("ts"))
+    holders = chunks.where(F.size("entities") > 0).select("id", "source_id", "entities")
+    linked = join_unique(holders, seen, ["source_id"]).select(
+        F.lit("chunks").alias("ref_table"), F.col("id").alias("row_key"), F.explode("entities").alias("ref_title"), "ts"
     )
     shown = injections.where(F.size("injected") > 0).select(
         F.lit("injections").alias("ref_table"),
@@ -63,12 +53,11 @@ def title_references(chunks: DataFrame, manifest: DataFrame, injections: DataFra
         F.explode("injected.title").alias("ref_title"),
         instant(F.col("recall_at")).alias("ts"),
     )
-    title, month = title_key(F.col("ref_title")), month_number(F.col("ts"))
     return (
         linked.unionByName(shown)
         .where("ref_title is not null and ts is not null and row_key is not null")
-        .select("ref_table", "row_key", "ref_title", month.alias("month"), F.when(title != "", _key(title, month)).alias("key"))
-        .where("key is not null")
+        .select("ref_table", "row_key", "ref_title", month_number(F.col("ts")).alias("month"), title_key(F.col("ref_title")).alias("title"))
+        .where("title <> ''")
     )
 
 
@@ -76,9 +65,7 @@ def orphan_rows(spark: SparkSession, d: str) -> DataFrame:
     chunks, manifest, changes, injections = (table(spark, d, t) for t in ("chunks", "manifest", "changes", "injections"))
     latest = manifest.select(instant(F.col("indexed_at")).alias("ts")).unionByName(injections.select(instant(F.col("recall_at")).alias("ts")))
     horizon = latest.agg(F.max(month_number(F.col("ts")))).first()[0] or 0
-    refs = title_references(chunks, manifest, injections)
-    # a file has some months; the filter is sized by files, as a title is there for a year or two
-    return orphan_references(refs, title_months(manifest, changes, horizon), "key", 12 * parquet_rows(manifest))
+    return orphan_references(title_references(chunks, manifest, injections), title_spans(manifest, changes, horizon), "title", "month")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

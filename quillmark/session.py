@@ -28,14 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, written to the shared checkpoint folder, so that a lost executor
-    costs no more than the tasks it ran. The folder is the session's ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) one is made here."""
+    costs no more than the tasks it ran. The folder is the session's ``spark.checkpoint.dir``; only a local
+    session without one (tests, a laptop) gets a temporary folder, as a machine's own folder is of no use to
+    a cluster."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmark-"))
     return df.checkpoint(eager=True)
-
-
-def parquet_rows(df: DataFrame) -> int:
-    """Number of rows; for a bare parquet scan Spark answers from the files' footers."""
-    return df.count()

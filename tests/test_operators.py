@@ -11,7 +11,8 @@ from quillmark.functions import columns as C
 from quillmark.operators import changes, fusion, merge, render
 from quillmark.operators.lexical import ranked
 from quillmark.operators.embedders import HashEmbedder, OnnxEmbedder, with_vectors
-from quillmark.operators.orphans import bloom_blocks, bloom_filter, might_exist, orphan_references
+from quillmark.operators.orphans import bloom_blocks, bloom_filter, might_exist, merged_spans, orphan_references
+from quillmark.operators.skew import hot_keys, join_unique
 from quillmark.operators.vector import hash_embedding, nearest
 from quillmark.sources import markdown
 
@@ -216,22 +217,73 @@ def refs(spark, *rows):
     return spark.createDataFrame(list(rows), "key string, row int")
 
 
-def test_orphans_equal_a_plain_anti_join(spark):
+@pytest.mark.parametrize("blocks", [1, 64, 1 << 20])  # no filter at all, one far too small, one that fits
+def test_orphans_equal_a_plain_anti_join(spark, blocks):
     parents = spark.range(3000).select(F.concat(F.lit("k"), F.col("id") * 2).alias("key"), F.lit("x").alias("row"))
     some = spark.range(6000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").cast("int").alias("row"))
-    for blocks in (1, 1 << 20):  # a filter far too small lets all through to the exact join
-        got = orphan_references(some, parents, "key", 3000, max_blocks=blocks)
-        assert {r.row for r in got.collect()} == {i for i in range(6000) if i % 2}
+    got = orphan_references(some, parents, "key", max_blocks=blocks)
+    assert {r.row for r in got.collect()} == {i for i in range(6000) if i % 2}
 
 
 def test_orphan_edge_cases(spark):
     parents = refs(spark, ("a", 1), ("a", 1), (None, 2))
     some = refs(spark, ("a", 1), ("b", 2), ("b", 2), (None, 3), ("", 4), ("x" * 100_000, 5))
-    assert sorted(r.row for r in orphan_references(some, parents, "key", 2).collect()) == [2, 2, 4, 5]
-    assert sorted(r.row for r in orphan_references(some, parents.limit(0), "key", 0).collect()) == [1, 2, 2, 4, 5]
-    assert orphan_references(some.limit(0), parents, "key", 2).count() == 0
-    hot = spark.range(5000).select(F.lit("a").alias("key"), F.col("id").cast("int").alias("row")).unionByName(refs(spark, ("z", -1)))
-    assert [r.row for r in orphan_references(hot, parents, "key", 2).collect()] == [-1]
+    assert sorted(r.row for r in orphan_references(some, parents, "key").collect()) == [2, 2, 4, 5]
+    assert sorted(r.row for r in orphan_references(some, parents.limit(0), "key").collect()) == [1, 2, 2, 4, 5]
+    assert orphan_references(some.limit(0), parents, "key").count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [100, 10**9])
+def test_orphans_at_a_month_with_a_hot_key(spark, hot_rows):
+    spans = [("a", 1, 3), ("a", 3, 4), ("a", 5, 5), ("a", 9, 12), ("b", 2, 2), ("b", 2, 2), ("c", 7, 6), (None, 1, 99)]
+    parents = spark.createDataFrame(spans, "key string, since int, until int").withColumn("row", F.lit(0))
+    merged = {tuple(r) for r in merged_spans(parents, "key").collect()}
+    assert merged == {("a", 1, 5), ("a", 9, 12), ("b", 2, 2)}
+    some = refs(spark, *[(k, m) for k in ("a", "b", "c", "d", None) for m in range(14)]).withColumnRenamed("row", "at")
+    hot = spark.range(3000).select(F.lit("a").alias("key"), (F.col("id") % 2 * 6).cast("int").alias("at"))
+    rows = some.unionByName(hot).withColumn("since", F.lit(1))
+    there = lambda k, m: any(k == x and a <= m <= b for x, a, b in spans)
+    expected = {(r.key, r["at"]): n for (r, n) in ((r, r.n) for r in rows.groupBy("key", "at").agg(F.count("*").alias("n")).collect()) if r.key and not there(r.key, r["at"])}
+    got = orphan_references(rows, parents, "key", "at", hot_rows=hot_rows)
+    assert {(r.key, r["at"]): r.n for r in got.groupBy("key", "at").agg(F.count("*").alias("n")).collect()} == expected and expected["a", 0] > 1500
+
+
+def test_hot_keys_are_few_and_join_like_others(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"), "id")
+    lookup = spark.range(0, 700, 2).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(1).alias("v")).unionByName(spark.createDataFrame([("hot", 2), (None, 3)], "k string, v int"))
+    assert [r.k for r in hot_keys(rows, ["k"], 100)] == ["hot"] and hot_keys(rows, ["k"]) == []
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = rows.join(lookup, ["k"], how)
+        split = join_unique(rows, lookup, ["k"], how, 100)
+        assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.select(split.columns).collect()))
+    # the hot rows pass no exchange: what is sorted by key leaves them out
+    plan = join_unique(rows, lookup, ["k"], "inner", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
+def test_only_the_filter_is_broadcast(spark, small):
+    from quillmark.plans.orphan_queries import p4_found
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        found = p4_found(spark, small)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("_block" in line for line in joins)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quillmark.session import cut
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))))
 
 
 def test_bloom_filter_has_no_false_negatives_and_a_bound(spark):
