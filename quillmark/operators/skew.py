@@ -38,3 +38,32 @@ def join_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     held = lookup.join(named, keys, "left_semi")
     cold = rows.join(named, keys, "left_anti").join(lookup.hint("merge"), keys, how)
     return cold.unionByName(rows.join(named, keys, "left_semi").join(F.broadcast(held), keys, how))
+
+
+def _salted(members: DataFrame, sizes: DataFrame, keys: list[str], most: int, hot_rows: int) -> DataFrame:
+    """members with ``_salt``: which of its class's parts of about ``most`` rows a member is in."""
+    held = join_unique(members, sizes, keys, "inner", hot_rows)
+    return held.withColumn("_salt", F.pmod(F.xxhash64("id"), F.floor(F.col("_n") / most) + 1).cast("int"))
+
+
+def expand_pairs(links: DataFrame, members: DataFrame, keys: list[str], most: int = 20_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: for every pair of classes the pairs of an id of the one with an id of the other.
+
+    links: a_<key> and b_<key> for each key, each pair of classes once; members: id and keys, each id of a class
+    once. A class of more than ``most`` members is spread over parts, which meet the links' parts one by one, so
+    neither a class of many copies nor one with many links is gathered in a task.
+    """
+    ends = [links.select(*(F.col(f"{side}_{k}").alias(k) for k in keys)) for side in "ab"]
+    linked = members.join(ends[0].unionByName(ends[1]).distinct().hint("merge"), keys, "left_semi")
+    sizes = linked.groupBy(*keys).agg(F.count("*").alias("_n"))
+    parts = _salted(linked, sizes, keys, most, hot_rows)
+    out = links
+    named = {side: [f"{side}_{k}" for k in keys] for side in "ab"}
+    rename = lambda df, side, *rest: df.select(*(F.col(k).alias(n) for k, n in zip(keys, named[side], strict=True)), *rest)
+    for side in "ab":
+        spread = F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / most).cast("int")))
+        out = join_unique(out, rename(sizes, side, "_n"), named[side], "inner", hot_rows).withColumn(f"_salt_{side}", spread).drop("_n")
+    for side in "ab":
+        ids = rename(parts, side, F.col("_salt").alias(f"_salt_{side}"), F.col("id").alias(f"_{side}"))
+        out = out.join(ids.hint("merge"), [*named[side], f"_salt_{side}"]).drop(f"_salt_{side}", *named[side])
+    return out.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
