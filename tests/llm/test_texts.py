@@ -110,6 +110,16 @@ def test_cooccurrence_equals_brute_force(spark, block):
     assert P3.cooccurring(df.limit(0), 0).count() == 0
 
 
+def test_pairs_of_a_text_with_many_copies_are_spread(spark):
+    from quillmark.operators.skew import expand_pairs
+
+    members = spark.range(60).select(F.col("id"), F.when(F.col("id") < 40, 1).when(F.col("id") < 50, 2).otherwise(3).alias("k"))
+    links = spark.createDataFrame([(1, 2), (3, 2)], "a_k int, b_k int")
+    for most, hot in ((7, 10**9), (7, 0), (10**6, 10**9)):
+        got = expand_pairs(links, members, ["k"], most, hot)
+        assert sorted(map(tuple, got.collect())) == sorted([(a, b) for a in range(40) for b in range(40, 50)] + [(b, c) for b in range(40, 50) for c in range(50, 60)])
+
+
 # ---- packing
 
 
@@ -170,9 +180,13 @@ def levenshtein_within(pattern, text):
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=90), st.lists(st.integers(0, 3), max_size=60))
 def test_myers_equals_dynamic_programming(pattern, text):
     assert P7.myers(pattern, text) == levenshtein_within(pattern, text)
+    if len(pattern) <= 63:
+        used = np.array([[False, *[True] * len(text), False]])
+        assert P7.myers_rows(np.array([pattern]), np.array([[7, *text, 7]]), used).tolist() == [levenshtein_within(pattern, text)]
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [30, 10**9])
+def test_leaks_equal_brute_force(spark, hot_rows):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(8)] + [(50, "too short"), (51, None), (None, "x y z")]
@@ -197,7 +211,7 @@ def test_leaks_equal_brute_force(spark):
                 best = min((levenshtein_within(w[s : s + 12], b) for s in range(len(w) - 11)), default=99) if item_id is not None else 99
                 if best <= edits:
                     truth[item_id, doc_id] = min(best, truth.get((item_id, doc_id), 99))
-        got = {(r.item_id, r.doc_id): r.edits for r in P7.find_leaks(d, i, max_edits=edits, items_per_block=3).collect()}
+        got = {(r.item_id, r.doc_id): r.edits for r in P7.find_leaks(d, i, max_edits=edits, hot_rows=hot_rows).collect()}
         assert got.pop((0, 502)) == 0
         assert {k: v for k, v in got.items() if k[1] < 500} == truth and truth
     assert P7.find_leaks(d.limit(0), i).count() == 0 and P7.find_leaks(d, i.limit(0)).count() == 0
@@ -215,7 +229,7 @@ def forms(spark, texts):
     ("same", "as_"),
     [
         ("Ｆｕｌｌ　ｗｉｄｔｈ！", "Full width!"), ("ﬁne ﬂow", "fine flow"), ("été", "été"), ("раураl", "paypal"), ("ΑΒΕ", "ABE"),
-        ("a​b­c﻿", "abc"), ("a b c\td", "a b c d"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("е́", "é"), ("a\r\nb", "a\nb"), ("❤️", "❤"),
+        ("a​b­c﻿", "abc"), ("Ⅳ ⅱ", "IV ii"), ("non\u2011stop", "non-stop"), ("ⲤᎪꓰ", "CAE"), ("ĳs ⼀", "ijs 一"), ("\U0001f468\u200b\u200d\U0001f469", "\U0001f468\u200d\U0001f469"), ("\U0001f44d\u200d\U0001f44d", "\U0001f44d\U0001f44d"), ("a\U000e0041b", "ab"), ("a b c\td", "a b c d"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("е́", "é"), ("a\r\nb", "a\nb"), ("❤️", "❤"),
     ],
 )
 def test_same_look_same_form(spark, same, as_):
@@ -235,6 +249,8 @@ def test_joined_pictographs_are_seen(spark):
     family, apart = "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f468\U0001f469\U0001f467"
     a, b, c, d = forms(spark, [family, apart, apart + "\u200d", "a\u200d" + apart])
     assert a == family != b and b == c and d == "a" + apart
+    flag = lambda region: "\U0001f3f4" + "".join(chr(0xE0000 + ord(x)) for x in region) + "\U000e007f"
+    assert forms(spark, [flag("gbsct"), flag("gbeng") + "\U000e0041"]) == [flag("gbsct"), flag("gbeng")]
 
 
 def test_lookalike_pairs(spark):
