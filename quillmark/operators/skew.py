@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from quillmark.session import cut
+
 HOT_SHARE = 4096
 #: A key with fewer rows than this is no burden to any task.
 HOT_ROWS = 200_000
@@ -25,13 +27,14 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list
     return counts.where(F.col("_n") > max(hot_rows, total // HOT_SHARE)).select(*keys).collect()
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with lookup, which has each key at most once. how: inner, left, left_semi or left_anti.
+    counted: what the keys are counted in instead of rows, where those are dear to compute twice.
 
     Equal keys join, null ones never do. Neither side is broadcast as a whole, whatever Spark takes its size
     for: of lookup only the rows of hot keys are, fewer than HOT_SHARE.
     """
-    hot = hot_keys(rows, keys, hot_rows)
+    hot = hot_keys(rows if counted is None else counted, keys, hot_rows)
     if not hot:
         return rows.join(lookup.hint("merge"), keys, how)
     named = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
@@ -47,23 +50,28 @@ def _salted(members: DataFrame, sizes: DataFrame, keys: list[str], most: int, ho
 
 
 def expand_pairs(links: DataFrame, members: DataFrame, keys: list[str], most: int = 20_000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: for every pair of classes the pairs of an id of the one with an id of the other.
+    """(id_a, id_b), id_a < id_b: for every pair of classes the pairs of an id of the one with an id of the other; a
+    class paired with itself stands for the pairs of its ids.
 
     links: a_<key> and b_<key> for each key, each pair of classes once; members: id and keys, each id of a class
     once. A class of more than ``most`` members is spread over parts, which meet the links' parts one by one, so
     neither a class of many copies nor one with many links is gathered in a task.
     """
+    links = cut(links)
     ends = [links.select(*(F.col(f"{side}_{k}").alias(k) for k in keys)) for side in "ab"]
-    linked = members.join(ends[0].unionByName(ends[1]).distinct().hint("merge"), keys, "left_semi")
+    linked = cut(members.join(ends[0].unionByName(ends[1]).distinct().hint("merge"), keys, "left_semi"))
     sizes = linked.groupBy(*keys).agg(F.count("*").alias("_n"))
     parts = _salted(linked, sizes, keys, most, hot_rows)
-    out = links
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"a_{k}") == F.col(f"b_{k}"))
+    out = links.withColumn("_same", same)
     named = {side: [f"{side}_{k}" for k in keys] for side in "ab"}
     rename = lambda df, side, *rest: df.select(*(F.col(k).alias(n) for k, n in zip(keys, named[side], strict=True)), *rest)
     for side in "ab":
         spread = F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / most).cast("int")))
-        out = join_unique(out, rename(sizes, side, "_n"), named[side], "inner", hot_rows).withColumn(f"_salt_{side}", spread).drop("_n")
+        out = join_unique(out, rename(sizes, side, "_n"), named[side], "inner", hot_rows, links).withColumn(f"_salt_{side}", spread).drop("_n")
     for side in "ab":
         ids = rename(parts, side, F.col("_salt").alias(f"_salt_{side}"), F.col("id").alias(f"_{side}"))
         out = out.join(ids.hint("merge"), [*named[side], f"_salt_{side}"]).drop(f"_salt_{side}", *named[side])
-    return out.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
+    return out.where(~F.col("_same") | (F.col("_a") < F.col("_b"))).select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
