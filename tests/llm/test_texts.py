@@ -105,6 +105,8 @@ def test_cooccurrence_equals_brute_force(spark, block):
     got = {(r.kind, r.item_a, r.item_b): (r.both, r.held_a, r.held_b) for r in P3.cooccurring(df, n, 3, 1 / 500, 1.2, block).collect()}
     expected = {(k, a, b): (m, held[k, a], held[k, b]) for (k, a, b), m in both.items() if m >= 3 and m >= n / 500 and m * n >= 1.2 * held[k, a] * held[k, b]}
     assert got == expected and got
+    hot = {(r.kind, r.item_a, r.item_b): (r.both, r.held_a, r.held_b) for r in P3.cooccurring(df, n, 3, 1 / 500, 1.2, block, hot_rows=10).collect()}
+    assert hot == expected
     every = P3.cooccurring(df, n, 0, 0, 0, block)
     assert {(r.kind, r.item_a, r.item_b): r.both for r in every.collect()} == both
     assert P3.cooccurring(df.limit(0), 0).count() == 0
@@ -120,6 +122,24 @@ def test_pairs_of_a_text_with_many_copies_are_spread(spark):
         assert sorted(map(tuple, got.collect())) == sorted([(a, b) for a in range(40) for b in range(40, 50)] + [(b, c) for b in range(40, 50) for c in range(50, 60)])
 
 
+def test_a_basket_of_a_third_of_all_rows_is_cut_into_products(spark):
+    rows = spark.range(3000).select(F.lit("t").alias("kind"), F.when(F.col("id") < 1000, "big").otherwise(F.concat(F.lit("r"), F.col("id") % 400)).alias("record"), F.concat(F.lit("i"), F.col("id") % 1000).alias("item"))
+    chunks = P3.basket_chunks(rows.distinct(), 64, 500).collect()
+    big = [r for r in chunks if r.record == "big"]
+    assert sum(r.x < r.y for r in big) == 16 * 15 // 2 and max(len(r.lefts) for r in big) < 128
+    assert sum(len(r.lefts) for r in big if r.x == r.y) == 1000
+
+
+@pytest.mark.parametrize(("record", "block"), [("source_id", P3.FILE_BLOCK), ("title", P3.BLOCK)])
+def test_registered_queries_pass_through_products(spark, small, record, block):
+    """Large baskets of the real tables are cut: their pairs come from products of chunks."""
+    from quillmark.functions.columns import title_key
+    from quillmark.session import table
+
+    rows = P3._exploded(table(spark, f"{small}/../sf0.01", "chunks").select(record, "entities"), record, "entity", "entities", title_key)
+    assert P3.basket_chunks(rows.where("record is not null and item <> ''").distinct(), block).where("x < y").count() > 0
+
+
 # ---- packing
 
 
@@ -128,18 +148,19 @@ def reviews(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for i in range(400)]
-    return [*rows, (900, None), (901, ""), (902, "long text " * 900), (903, rows[0][1]), (5, rows[5][1]), (None, "lost")]
+    return [*rows, (900, None), (901, ""), (902, "long text " * 900), (903, rows[0][1]), (5, rows[5][1]), (7, "another text of the same id"), (7, ""), (None, "lost")]
 
 
 def test_packing_is_whole_and_tight(spark, reviews):
     df = spark.createDataFrame(reviews, "doc_id bigint, text string")
     got = P6.pack_texts(df, "doc_id", "text", shard_texts=200).collect()
     encode = P6.tokenizer().encode_ordinary
-    texts = {i: t or "" for i, t in reviews if i is not None}
+    keys = {(r.doc_id, r.text): r.k for r in df.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    texts = {(i, keys[i, t]): t or "" for i, t in reviews if i is not None}
     sizes = {i: len(encode(t)) for i, t in texts.items()}
     by_doc, by_box = {}, {}
     for r in got:
-        by_doc.setdefault(r.doc_id, []).append((r.token_from, r.token_to))
+        by_doc.setdefault((r.doc_id, r.text_key), []).append((r.token_from, r.token_to))
         by_box.setdefault(r.container, []).append((r.slot, r.token_to - r.token_from))
     assert set(by_doc) == set(texts)
     for i, spans in by_doc.items():
@@ -157,12 +178,25 @@ def test_neighbours_come_in_order_of_score():
     terms = [np.array(t, np.int64) for t in ([1, 2], [1, 2, 3], [2], [9])]
     weights = [np.array(w, np.float32) for w in ([1, 1], [1, 2, 1], [1.5], [1])]
     index = P6.ShardIndex(terms, weights)
-    assert index.neighbours(terms[0], np.array([False, True, True, True]), 5).tolist() == [1, 2]
-    assert index.neighbours(np.array([77]), np.ones(4, bool), 5).tolist() == []
+    assert index.neighbours(terms[0], np.array([False, True, True, True])).tolist() == [1, 2]
+    assert index.neighbours(np.array([77]), np.ones(4, bool)).tolist() == [] == index.neighbours(np.array([5]), np.ones(4, bool)).tolist()
     assert P6.pack_shard(np.array([300, 200, 212, 10]), index, terms, 512) == [[0, 1, 3], [2]]
     assert P6.pack_shard(np.array([], int), P6.ShardIndex([], []), [], 512) == []
 
 
+def test_shards_keep_like_texts_together_and_split_copies(spark):
+    rows = spark.range(1000).select(
+        F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("text_key"),
+        F.array(F.struct(F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 30).cast("bigint").alias("term"), F.lit(1.0).cast("float").alias("weight"))).alias("terms"),
+    )
+    got = P6.similar_shards(rows, 50).select("doc_id", "shard", F.col("terms")[0]["term"].alias("t")).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.shard, []).append(r.t)
+    assert len(got) == 1000 and max(map(len, held.values())) < 90
+    assert all(len({s for s, ts in held.items() if t in ts}) == 1 for t in range(30) if t != 7)
+
+
 # ---- leaks
 
 
