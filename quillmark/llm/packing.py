@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers with texts (problem 6) by lexical retrieval packing.
 
-Texts are sized in tokens of a public tokenizer. A sharded BM25 inverted index returns, for the longest text
-not yet placed, its unused neighbours, which fill its container greedily; the room no neighbour fits is topped
-up from the unused texts of the shard by size. Only a text that alone exceeds the capacity is cut.
+Texts are sized in tokens of a public tokenizer. A BM25 inverted index, sharded so that texts with the same most
+telling term lie together, returns, for the longest text not yet placed, its unused neighbours, which fill its
+container greedily; the room no neighbour fits is topped up from the unused texts of the shard by size. Only a
+text that alone exceeds the capacity is cut.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import BM25_B, BM25_K1, EMBED_MAX_TOKENS
+from quillmark.operators.skew import HOT_ROWS, join_unique
 from quillmark.session import cut, table
 
 CAPACITY = EMBED_MAX_TOKENS
@@ -26,30 +28,43 @@ TOKENIZERS = os.environ.get("QUILLMARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary's public tokenizer cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts in a shard on average, and neighbours asked for at a time.
+#: Texts in a shard on average.
 SHARD_TEXTS = 4000
-NEIGHBOURS = 64
+#: Buckets of most telling terms, by whose counts shards are laid out: what comes to the driver.
+TERM_BUCKETS = 1 << 16
 
 
 @cache
 def tokenizer(folder: str = TOKENIZERS, file: str = VOCABULARY):
-    """The tokenizer of a vocabulary of ranks, loaded once a worker."""
-    import tiktoken
+    """The tokenizer of a vocabulary file."""
+    return _encoding(vocabulary(folder, file))
+
 
+def vocabulary(folder: str, file: str) -> bytes:
     with open(os.path.join(folder, file), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return f.read()
+
+
+@cache
+def _encoding(ranks_file: bytes):
+    """The tokenizer of a vocabulary of ranks, made once a worker."""
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, text_column: str, into: str, folder: str = TOKENIZERS, file: str = VOCABULARY) -> DataFrame:
-    """df with the number of tokens of a text column; null counts as the empty text, which has none."""
+    """df with the number of tokens of a text column; null counts as the empty text, which has none. The
+    vocabulary (about a megabyte) is read here and travels with the job, so the workers need no file."""
     rest = [c for c in df.columns if c != into]
     place = rest.index(text_column)
     picked = df.select(*(F.col(f"`{c}`") for c in rest))
     schema = picked.withColumn(into, F.lit(0)).schema
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(folder, file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(folder, file).encode_ordinary
+        encode = _encoding(shared.value).encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) if t else 0 for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32())], names=[*rest, into])
@@ -57,15 +72,16 @@ def token_counts(df: DataFrame, text_column: str, into: str, folder: str = TOKEN
     return picked.mapInArrow(run, schema)
 
 
-def weighted_terms(texts: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(doc_id, terms array<struct<term:bigint,weight:float,idf:float>>) with BM25 weights from the counts of
-    all texts; terms of one text alone find nothing and are left out."""
+def weighted_terms(texts: DataFrame, k1: float = BM25_K1, b: float = BM25_B, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, text_key, terms array<struct<term:bigint,weight:float>>) of texts (doc_id, text_key, text) with BM25
+    weights from the counts of all texts; terms of one text alone find nothing and are left out. A word that
+    most texts have meets its count by broadcast."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     postings = (
         texts.where("text is not null")
-        .select("doc_id", words.alias("words"))
-        .select("doc_id", F.size("words").alias("len"), F.explode("words").alias("word"))
-        .groupBy("doc_id", "len", F.xxhash64("word").alias("term"))
+        .select("doc_id", "text_key", words.alias("words"))
+        .select("doc_id", "text_key", F.size("words").alias("len"), F.explode("words").alias("word"))
+        .groupBy("doc_id", "text_key", "len", F.xxhash64("word").alias("term"))
         .agg(F.count("*").alias("tf"))
     )
     postings = cut(postings)
@@ -75,13 +91,36 @@ def weighted_terms(texts: DataFrame, k1: float = BM25_K1, b: float = BM25_B) ->
     idf = F.log(1 + (F.lit(float(total or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
     return (
-        postings.join(df, "term")
-        .select("doc_id", F.struct("term", (idf * weight).cast("float").alias("weight")).alias("t"))
-        .groupBy("doc_id")
+        join_unique(postings, df, ["term"], "inner", hot_rows)
+        .select("doc_id", "text_key", F.struct("term", (idf * weight).cast("float").alias("weight")).alias("t"))
+        .groupBy("doc_id", "text_key")
         .agg(F.collect_list("t").alias("terms"))
     )
 
 
+def similar_shards(rows: DataFrame, shard_texts: int = SHARD_TEXTS) -> DataFrame:
+    """rows (doc_id, text_key, terms, ...) with ``shard``: about ``shard_texts`` rows each, texts with the same most
+    telling term together. Buckets of such terms are counted; small ones share a shard, and one with more texts
+    than a shard holds, such as a group of copies, is spread over several by hash."""
+    telling = F.array_max(F.transform("terms", lambda t: F.struct(t["weight"].alias("w"), t["term"].alias("t"))))["t"]
+    bucket = F.pmod(F.xxhash64(F.coalesce(telling, F.lit(0))), F.lit(TERM_BUCKETS)).cast("int")
+    rows = rows.withColumn("_bucket", bucket)
+    counts = rows.groupBy("_bucket").agg(F.count("*").alias("n")).orderBy("_bucket").collect()  # at most TERM_BUCKETS
+    layout, shard, held = [], 0, 0
+    for r in counts:
+        parts = -(-r.n // shard_texts)
+        if held + r.n > shard_texts and held:
+            shard, held = shard + 1, 0
+        layout.append((r["_bucket"], shard, parts))
+        if parts > 1:
+            shard, held = shard + parts, 0
+        else:
+            held += r.n
+    placed = rows.sparkSession.createDataFrame(layout, "_bucket int, _first int, _parts int")
+    spread = F.pmod(F.xxhash64("doc_id", "text_key"), F.col("_parts")).cast("int")
+    return rows.join(F.broadcast(placed), "_bucket").withColumn("shard", F.col("_first") + spread).drop("_bucket", "_first", "_parts")
+
+
 class ShardIndex:
     """BM25 inverted index of one shard: per term the texts that have it, with their weights."""
 
@@ -95,25 +134,23 @@ class ShardIndex:
         self.weights = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order]
         self.texts = len(terms)
 
-    def neighbours(self, terms: np.ndarray, unused: np.ndarray, k: int) -> np.ndarray:
-        """The k unused texts of greatest score for these terms, best first, of equal ones the first."""
+    def neighbours(self, terms: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """All open texts that share a term, by score, of equal ones the first."""
         score = np.zeros(self.texts, np.float32)
         at = np.searchsorted(self.terms, terms)
-        for i in at[(at < len(self.terms))]:
+        at = at[at < len(self.terms)]
+        for i in at[np.isin(self.terms[at], terms)]:
             docs = self.docs[self.start[i] : self.end[i]]
             score[docs] += self.weights[self.start[i] : self.end[i]]
-        score[~unused] = 0
-        hits = np.flatnonzero(score)
-        if len(hits) > k:
-            hits = hits[np.argpartition(-score[hits], k - 1)[:k]]
+        hits = np.flatnonzero((score > 0) & open_)
         return hits[np.lexsort((hits, -score[hits]))]
 
 
-def pack_shard(sizes: np.ndarray, index: ShardIndex, terms: list[np.ndarray], capacity: int, neighbours: int = NEIGHBOURS) -> list[list[int]]:
+def pack_shard(sizes: np.ndarray, index: ShardIndex, terms: list[np.ndarray], capacity: int) -> list[list[int]]:
     """Containers as lists of text numbers, each text of at most ``capacity`` in one of them.
 
-    Seeds go from the longest text to the shortest. Neighbours that fit are taken in order of score; then, as
-    long as an unused text fits the rest, the largest such one.
+    Seeds go from the longest text to the shortest. All neighbours are gone through in order of score and taken
+    where they fit; then, as long as an unused text fits the rest, the largest such one.
     """
     order = np.lexsort((np.arange(len(sizes)), sizes))
     unused = np.ones(len(sizes), bool)
@@ -129,11 +166,13 @@ def pack_shard(sizes: np.ndarray, index: ShardIndex, terms: list[np.ndarray], ca
         take(seed)
         held, room = [seed], capacity - int(sizes[seed])
         if room > 0 and left and left[0][0] <= room:
-            for i in index.neighbours(terms[seed], unused, neighbours):
-                if 0 < sizes[i] <= room:
+            for i in index.neighbours(terms[seed], unused & (sizes > 0) & (sizes <= room)):
+                if sizes[i] <= room:
                     take(int(i))
                     held.append(int(i))
                     room -= int(sizes[i])
+                    if not room or not left or left[0][0] > room:
+                        break
         while left and (at := bisect.bisect_right(left, (room, len(sizes)))):
             size, i = left[at - 1]
             take(i)
@@ -146,40 +185,43 @@ def pack_shard(sizes: np.ndarray, index: ShardIndex, terms: list[np.ndarray], ca
 def pack_texts(
     df: DataFrame, id_column: str, text_column: str, capacity: int = CAPACITY, shard_texts: int = SHARD_TEXTS, folder: str = TOKENIZERS, file: str = VOCABULARY
 ) -> DataFrame:
-    """(container string, slot int, doc_id bigint, piece int, token_from int, token_to int): every text, or
-    every piece of one that alone exceeds the capacity, in a container of at most ``capacity`` tokens.
+    """(container string, slot int, doc_id bigint, text_key bigint, piece int, token_from int, token_to int): every
+    text, or every piece of one that alone exceeds the capacity, in a container of at most ``capacity`` tokens.
+    text_key is Spark's xxhash64 of the text: it tells the texts of an id apart.
 
     A text above the capacity is cut every ``capacity`` tokens; its full pieces fill a container each and its
     rest is packed with the others. Null and empty texts have no tokens and share containers like any other.
-    Null ids are left out; repeated rows of an id count once, and of an id with several texts one is taken.
-    Shards are taken by hash, at about ``shard_texts`` each, so no source or group of copies makes a large
-    one; counts behind the scores are those of all texts. An empty table gives no rows.
+    Null ids are left out; a repeated row counts once, and of an id with several texts each is packed.
+    Shards have about ``shard_texts`` each, so no source or group of copies makes a large one; counts behind the
+    scores are those of all texts. An empty table gives no rows.
     """
     texts = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    sized = cut(token_counts(texts, "text", "tokens", folder, file).select("doc_id", "tokens"))
-    shards = max(1, round(sized.count() / shard_texts))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
+    texts = texts.distinct().withColumn("text_key", F.xxhash64("text"))
+    sized = cut(token_counts(texts, "text", "tokens", folder, file).select("doc_id", "text_key", "tokens"))
     full = (
         sized.where(F.col("tokens") >= capacity)
-        .select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), (F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
+        .select("doc_id", "text_key", "tokens", F.explode(F.sequence(F.lit(0), (F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
         .select(
-            F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.lit(0).alias("slot"), "doc_id", "piece",
+            F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.hex("text_key"), F.col("piece").cast("string")).alias("container"), F.lit(0).alias("slot"), "doc_id", "text_key", "piece",
             (F.col("piece") * capacity).alias("token_from"), ((F.col("piece") + 1) * capacity).alias("token_to"),
         )
     )
-    rest = sized.where((F.col("tokens") == 0) | (F.col("tokens") % capacity > 0)).join(weighted_terms(texts), "doc_id", "left").withColumn("shard", shard)
-    schema = "container string, slot int, doc_id bigint, piece int, token_from int, token_to int"
+    rest = sized.where((F.col("tokens") == 0) | (F.col("tokens") % capacity > 0)).join(weighted_terms(texts).hint("merge"), ["doc_id", "text_key"], "left")
+    rest = similar_shards(cut(rest), shard_texts)
+    schema = "container string, slot int, doc_id bigint, text_key bigint, piece int, token_from int, token_to int"
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
-        doc, tokens = group.column("doc_id").to_numpy(), group.column("tokens").to_numpy()
-        terms, weights = [], []
-        for t in group.column("terms").to_pylist():
-            t = sorted((x["term"], x["weight"]) for x in t or ())
-            terms.append(np.array([x for x, _ in t], np.int64))
-            weights.append(np.array([w for _, w in t], np.float32))
-        packed = pack_shard(tokens % capacity, ShardIndex(terms, weights), terms, capacity)
+        group = group.sort_by([("doc_id", "ascending"), ("text_key", "ascending")]).combine_chunks()
+        doc, texts, tokens = (group.column(c).to_numpy() for c in ("doc_id", "text_key", "tokens"))
+        listed = group.column("terms")
+        listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
+        length = np.asarray(listed.value_lengths().fill_null(0))
+        flat = listed.flatten()
+        term, weight = flat.field("term").to_numpy(zero_copy_only=False), flat.field("weight").to_numpy(zero_copy_only=False)
+        order = np.lexsort((term, np.repeat(np.arange(len(length)), length)))
+        cuts = np.cumsum(length)[:-1]
+        terms = np.split(term[order], cuts)
+        packed = pack_shard(tokens % capacity, ShardIndex(terms, np.split(weight[order], cuts)), terms, capacity)
         rows = [(f"s{key[0].as_py()}-{c}", slot, i) for c, held in enumerate(packed) for slot, i in enumerate(held)]
         at = np.array([i for _, _, i in rows], np.int64)
         piece = tokens[at] // capacity
@@ -188,6 +230,7 @@ def pack_texts(
                 "container": pa.array([c for c, _, _ in rows], pa.string()),
                 "slot": pa.array([s for _, s, _ in rows], pa.int32()),
                 "doc_id": pa.array(doc[at]),
+                "text_key": pa.array(texts[at]),
                 "piece": pa.array(piece.astype(np.int32)),
                 "token_from": pa.array((piece * capacity).astype(np.int32)),
                 "token_to": pa.array(tokens[at].astype(np.int32)),
@@ -212,5 +255,19 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill}
-SQL: dict[str, str] = {}
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any filling: every document is there, its pieces join to the whole of its tokens, only one
+    above the capacity is cut, no container is too full, and slots are numbered through."""
+    rows = cut(p6_containers(spark, d))
+    docs = rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"), F.min("token_from").alias("first"), F.max("token_to").alias("last"))
+    boxes = rows.groupBy("container").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"), F.count("*").alias("texts"), F.max("slot").alias("slot"))
+    whole = docs.agg(
+        F.count("*").alias("documents"),
+        F.count_if((F.col("first") != 0) | (F.col("tokens") != F.col("last"))).alias("not_whole"),
+        F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= CAPACITY)).alias("cut_in_vain"),
+    )
+    return whole.crossJoin(boxes.agg(F.count_if(F.col("tokens") > CAPACITY).alias("too_full"), F.count_if(F.col("slot") + 1 != F.col("texts")).alias("gaps")))
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p6_whole": p6_whole}
+SQL = {"p6_whole": "select count(distinct doc_id)::bigint documents, 0::bigint not_whole, 0::bigint cut_in_vain, 0::bigint too_full, 0::bigint gaps from documents"}
