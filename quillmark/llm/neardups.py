@@ -7,7 +7,8 @@ some segment the two differ in fewer elements than its allowance. An allowance o
 of 2 an equal segment or one equal to the other's with one element deleted, so each text is indexed under
 its segments' subsets and their one-deletion neighbourhoods. Which segments get which allowance is decided by
 costs from the counts of all texts. Candidates meet a parity sketch whose bit distance never exceeds the true
-difference, and what is left is verified exactly.
+difference, and what is left is verified by comparing all elements. Elements are compared by 40 bits of their
+hashes: two words of a pair of texts of n words are taken for one with a chance of about n * n / 2^40.
 """
 
 from __future__ import annotations
@@ -26,19 +27,21 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.splitting import chunk_body
 from quillmark.operators.orphans import bloom_blocks, bloom_filter, might_exist
+from quillmark.operators.skew import HOT_ROWS, expand_pairs, join_unique
 from quillmark.session import cut, table
 
 MIN_WORDS = 40
 THRESHOLD = 0.75
 #: Element codes that carry statistics; element hashes are reduced to them inside the index.
 CODES = 1 << 14
-#: Segments of an instance go to this many tasks, each with the sketches of the instance's texts once.
+#: Segments of an instance go to at least this many tasks, each with the sketches of the instance's texts once.
 GROUPS = 4
 #: Size bands between a length and the greatest length a partner can have: more bands fit the budget of
 #: differences more tightly (fewer candidates), but index each text once more.
 BAND_STEPS = 2
-#: Texts of an instance in one task; more are spread over parts by signature.
-TASK_TEXTS = 400_000
+#: What one task of an instance may read, and the cost it may have by the plan's estimate: an instance gets as
+#: many groups of segments as that takes, and where each segment has a task of its own, parts by signature.
+TASK_BYTES, TASK_COST = 96 << 20, 4e7
 #: Relative costs of handling one signature and one candidate pair.
 SIGNATURE_COST, PAIR_COST = 1.0, 0.4
 PAIRS_AT_ONCE = 1 << 18
@@ -176,7 +179,7 @@ class Instance:
     sketch_words: int
 
 
-def plan_instance(band: int, own: int, high: int, threshold: float, counts: np.ndarray, texts: int, task_texts: int = TASK_TEXTS) -> Instance:
+def plan_instance(band: int, own: int, high: int, threshold: float, counts: np.ndarray, texts: int, task_bytes: float = TASK_BYTES, task_cost: float = TASK_COST) -> Instance:
     """The index of texts whose longer partner has own to high words. counts: how many of the texts that take
     part have each code."""
     budget = int(2 * high * (1 - threshold) / (1 + threshold) + 1e-9)
@@ -187,8 +190,9 @@ def plan_instance(band: int, own: int, high: int, threshold: float, counts: np.n
     least = -(-need // 2)
     low = min(own, int(np.ceil(threshold * own - 1e-9)))
     common = dict(band=band, low=low, own=own, high=high, texts=texts, codes=codes, sketch_words=max(1, -(-int(1.2 * high) // 64)))
+    length = np.full(least, high / least)
     if codes > CODES:
-        segment, allow = None, np.full(least, 2, np.int8)
+        segment, allow, cost = None, np.full(least, 2, np.int8), float(texts * (least + high) * SIGNATURE_COST)
     else:
         p = np.minimum(counts / max(texts, 1), 1.0)
         equal = p * p + (1 - p) * (1 - p)
@@ -211,11 +215,19 @@ def plan_instance(band: int, own: int, high: int, threshold: float, counts: np.n
             first = texts * SIGNATURE_COST + same * PAIR_COST
             second = texts * (1 + length) * SIGNATURE_COST + same * (1 + one_off) * PAIR_COST
             v = allowance(first, second, need)
-            plans.append((float(np.where(v == 1, first, np.where(v == 2, second, 0)).sum()), m, of, v))
-        _, _, segment, allow = min(plans, key=lambda x: x[:2])
+            plans.append((float(np.where(v == 1, first, np.where(v == 2, second, 0)).sum()), m, of, v, length))
+        cost, _, segment, allow, length = min(plans, key=lambda x: x[:2])
     used = int((allow > 0).sum())
-    parts = max(1, -(-texts // task_texts))
-    return Instance(segment=segment, allow=allow, groups=used if parts > 1 else min(GROUPS, used), parts=parts, **common)
+    words = float(length[allow > 0].sum())
+    read = lambda groups: texts * (20 + 8 * common["sketch_words"] + (used + 2 * words) / groups)  # noqa: E731  bytes of a task
+    groups = min(GROUPS, used)
+    while groups < used and (read(groups) > task_bytes or cost / groups > task_cost):
+        groups += 1
+    # a part holds the texts one of whose signatures falls into it: of 1 + the segment's words
+    parts = max(1, int(np.ceil(cost / groups / task_cost)) if groups == used else 1)
+    if read(groups) > task_bytes:
+        parts = max(parts, int(np.ceil(read(groups) * (1 + words / used) / task_bytes)))
+    return Instance(segment=segment, allow=allow, groups=groups, parts=parts, **common)
 
 
 # ---------------------------------------------------------------- index
@@ -270,16 +282,16 @@ def index_rows(size: np.ndarray, name: np.ndarray, words: list[bytes], instances
             h = code_hash(c)
             np.add.at(whole, r, h)
             parts = np.uint64(inst.parts)
-            there = np.zeros((len(mine), inst.parts), bool)
-            there[np.arange(len(mine)), whole % parts] = True
-            there[r, (whole[r] - h) % parts] = True
+            both = np.unique(np.concatenate([(whole % parts).astype(np.int64) * len(mine) + np.arange(len(mine)), ((whole[r] - h) % parts).astype(np.int64) * len(mine) + r]))
             start = np.zeros(len(mine) + 1, np.int64)
             np.cumsum(np.bincount(r, minlength=len(mine)), out=start[1:])
-            for part in range(inst.parts):
-                some = np.flatnonzero(there[:, part])
-                if len(some):
-                    own = np.isin(r, some)
-                    yield inst.band, g, part, _block(name[mine][some], size[mine][some], sketch[some], counts[some], c[own].astype(kind))
+            part_of, texts = both // len(mine), both % len(mine)
+            edges = np.flatnonzero(np.concatenate([[True], part_of[1:] != part_of[:-1], [True]]))
+            for x, y in zip(edges, edges[1:], strict=False):
+                some = texts[x:y]
+                size_of = start[some + 1] - start[some]
+                own = np.repeat(start[some] - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
+                yield inst.band, g, int(part_of[x]), _block(name[mine][some], size[mine][some], sketch[some], counts[some], c[own].astype(kind))
 
 
 def _block(name: np.ndarray, size: np.ndarray, sketch: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
@@ -413,7 +425,7 @@ def _band_counts(sets: DataFrame, edges: list[int]) -> DataFrame:
     return found.groupBy("band", "code").agg(F.sum("texts").alias("texts"))
 
 
-def plan_index(sets: DataFrame, min_words: int, threshold: float, task_texts: int = TASK_TEXTS) -> list[Instance]:
+def plan_index(sets: DataFrame, min_words: int, threshold: float, task_bytes: float = TASK_BYTES, task_cost: float = TASK_COST) -> list[Instance]:
     """The indexes of all size bands, from the counts of all texts. What comes to the driver has at most CODES
     rows a band, and there are some 8 bands to a factor of 10 in length."""
     longest = sets.agg(F.max("n")).first()[0]
@@ -429,18 +441,18 @@ def plan_index(sets: DataFrame, min_words: int, threshold: float, task_texts: in
     plans = []
     for b in np.flatnonzero(texts):
         near = slice(max(0, b - BAND_STEPS), b + 1)
-        plans.append(plan_instance(int(b), edges[b], min(edges[b + 1] - 1, longest), threshold, counts[near].sum(axis=0), int(texts[near].sum()), task_texts))
+        plans.append(plan_instance(int(b), edges[b], min(edges[b + 1] - 1, longest), threshold, counts[near].sum(axis=0), int(texts[near].sum()), task_bytes, task_cost))
     return plans
 
 
-def similar_classes(sets: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, task_texts: int = TASK_TEXTS) -> DataFrame:
+def similar_classes(sets: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, task_bytes: float = TASK_BYTES, task_cost: float = TASK_COST, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a1, a2, b1, b2, similarity): the pairs of different multisets that share at least ``threshold``.
 
     sets: rows of word_sets, best cut. Copies count once throughout: a batch sends a multiset once, and a task
     drops those it has, so a text that is a third of all rows costs no more than its batches.
     """
     spark = sets.sparkSession
-    plans = plan_index(sets, min_words, threshold, task_texts)
+    plans = plan_index(sets, min_words, threshold, task_bytes, task_cost)
     if not plans:
         return spark.createDataFrame([], "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
     shared = spark.sparkContext.broadcast(plans)
@@ -477,10 +489,11 @@ def similar_classes(sets: DataFrame, min_words: int = MIN_WORDS, threshold: floa
     # only texts with a candidate are moved again: a Bloom filter of bounded size finds them where they lie
     bits = bloom_blocks(2 * pairs.count())
     needed = might_exist(sets.select("h1", "h2", "words"), "h1", bloom_filter(names, "h1", bits), bits, "_maybe").where("_maybe").drop("_maybe")
-    needed = needed.join(names, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    needed = cut(needed.join(names.hint("merge"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]))
     a = needed.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("x"))
     b = needed.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("y"))
-    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
+    # a text with very many candidates meets them by broadcast, on either side
+    both = join_unique(join_unique(pairs, a, ["a1", "a2"], "inner", hot_rows), b, ["b1", "b2"], "inner", hot_rows, pairs).select("a1", "a2", "b1", "b2", "x", "y")
     return both.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double").where(F.col("similarity") >= threshold - 1e-12)
 
 
@@ -490,32 +503,30 @@ class NearDuplicates:
 
     members: DataFrame
     links: DataFrame
+    hot_rows: int = HOT_ROWS
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: all similar pairs of ids, copies of one text included. As many rows as
-        there are pairs; where copies are many, use links, classes or degrees."""
+        there are pairs; where copies are many, use links, classes or degrees. A class of many copies is spread
+        over tasks."""
         copies = self.members.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-        same = copies.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-        classes = self.links.drop("similarity").unionByName(same)
-        a = self.members.select(F.col("id").alias("id_a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-        b = self.members.select(F.col("id").alias("id_b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-        both = classes.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-        other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-        return both.where(other | (F.col("id_a") < F.col("id_b"))).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+        same = copies.select(F.col("h1").alias("a_h1"), F.col("h2").alias("a_h2"), F.col("h1").alias("b_h1"), F.col("h2").alias("b_h2"))
+        other = self.links.select(F.col("a1").alias("a_h1"), F.col("a2").alias("a_h2"), F.col("b1").alias("b_h1"), F.col("b2").alias("b_h2"))
+        return expand_pairs(other.unionByName(same), self.members, ["h1", "h2"], hot_rows=self.hot_rows)
 
     def degrees(self) -> DataFrame:
         """(id, class_id, copies, links): one row an id: the smallest id with the same multiset, how many have
         it, and to how many other ids it is linked, copies included. Nothing is expanded."""
         classes = self.members.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-        size = classes.select("h1", "h2", "copies")
+        size = classes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "copies")
         turned = self.links.select("a1", "a2", "b1", "b2").unionByName(self.links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
-        far = turned.join(size, (F.col("b1") == F.col("h1")) & (F.col("b2") == F.col("h2"))).groupBy("a1", "a2").agg(F.sum("copies").alias("others"))
-        totals = classes.join(far, (F.col("a1") == F.col("h1")) & (F.col("a2") == F.col("h2")), "left").select("h1", "h2", "class_id", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
-        return self.members.join(totals, ["h1", "h2"]).select("id", "class_id", "copies", "links")
+        far = join_unique(turned, size, ["b1", "b2"], "inner", self.hot_rows).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("copies").alias("others"))
+        totals = classes.join(far.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "class_id", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        return join_unique(self.members, totals, ["h1", "h2"], "inner", self.hot_rows).select("id", "class_id", "copies", "links")
 
 
 def near_duplicates(
-    df: DataFrame, id_column: str, text_column: str, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, task_texts: int = TASK_TEXTS
+    df: DataFrame, id_column: str, text_column: str, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, task_bytes: float = TASK_BYTES, task_cost: float = TASK_COST, hot_rows: int = HOT_ROWS
 ) -> NearDuplicates:
     """Texts of at least ``min_words`` words (longest runs of letters and digits, lower case, repetitions
     counted) that share at least ``threshold`` of them: the sum of the smaller counts over that of the larger.
@@ -527,7 +538,8 @@ def near_duplicates(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     sets = cut(word_sets(df, id_column, text_column, min_words))
-    return NearDuplicates(sets.select("id", "h1", "h2").distinct(), similar_classes(sets, min_words, threshold, task_texts))
+    links = similar_classes(sets, min_words, threshold, task_bytes, task_cost, hot_rows)
+    return NearDuplicates(sets.select("id", "h1", "h2").distinct(), cut(links), hot_rows)
 
 
 def _bodies(spark: SparkSession, d: str) -> DataFrame:

@@ -34,14 +34,14 @@ def collection(seed, bases=12, copies=5, length=(40, 130), vocabulary=400):
     return texts
 
 
-@pytest.mark.parametrize("task_texts", [N.TASK_TEXTS, 20])
+@pytest.mark.parametrize("task", [{}, {"task_bytes": 2000}, {"task_cost": 300}, {"hot_rows": 5, "task_bytes": 6000}])
 @pytest.mark.parametrize("threshold", [0.75, 0.6])
-def test_pairs_equal_brute_force(spark, threshold, task_texts):
+def test_pairs_equal_brute_force(spark, threshold, task):
     texts = collection(int(threshold * 100))
     rows = [(f"d{i:03d}", ", ".join(t)) for i, t in enumerate(texts)]
     rows += [("copy", rows[0][1]), ("copy", rows[0][1]), ("null", None), (None, rows[1][1]), ("empty", ""), ("short", "a b c")]
     df = spark.createDataFrame(rows, "id string, text string").withColumn("n", F.lit(1)).withColumn("words", F.lit("x"))
-    found = N.near_duplicates(df, "id", "text", 40, threshold, task_texts)
+    found = N.near_duplicates(df, "id", "text", 40, threshold, **task)
     got = sorted(map(tuple, found.pairs().collect()))
     known = {i: t.split(", ") for i, t in rows if i is not None and t is not None and len(t.split(", ")) >= 40}
     truth = sorted((a, b) for a in known for b in known if a < b and similarity(known[a], known[b]) >= threshold)
@@ -67,6 +67,21 @@ def test_nothing_to_compare(spark):
         N.near_duplicates(df, "id", "text", threshold=0)
 
 
+def test_tasks_are_bounded_however_many_texts():
+    rng = np.random.default_rng(3)
+    share = rng.random(N.CODES) ** 8
+    last = 0.0
+    for texts in (10_000, 100_000, 1_000_000, 10_000_000, 100_000_000):
+        plan = N.plan_instance(0, 80, 99, 0.75, (share * texts).astype(np.int64), texts)
+        used = int((plan.allow > 0).sum())
+        words = share.sum() / plan.groups
+        spread = 1 if plan.parts == 1 else min(plan.parts, 1 + share.sum() / used) / plan.parts
+        read = texts * (20 + 8 * plan.sketch_words + used / plan.groups + 2 * words) * spread
+        assert read <= 1.05 * N.TASK_BYTES and N.GROUPS <= plan.groups <= used and (plan.parts == 1 or plan.groups == used)
+        assert plan.groups * plan.parts >= last
+        last = plan.groups * plan.parts
+
+
 def test_copies_alone_are_pairs(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(f"d{i}", text) for i in range(4)], "id string, text string")
