@@ -1,7 +1,7 @@
 """Most similar vectors for every vector (problem 1): robust-pruned directed graphs over shards.
 
-Vectors go to the cell of their nearest centroid and to near-by cells, each cell is a shard or several. In a
-shard a directed graph grows by batches: greedy beam searches on the graph so far propose neighbours, relaxed
+Vectors go to the cell of their nearest centroid and to near-by cells, each cell is a shard or several; where
+one level of centroids would be too many, each of its cells is cut into cells of its own. In a shard a directed graph grows by batches: greedy beam searches on the graph so far propose neighbours, relaxed
 distance pruning keeps diverse edges, reverse edges are added and pruned likewise. Then every vector of the
 shard is searched for on the finished graph by beam search, and the shards' lists are merged.
 
@@ -20,19 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import COSINE_GATE
+from quillmark.operators.skew import join_unique
 from quillmark.session import cut, table
 
 #: Vectors a cell has on average, and the most a shard may have by the sample's estimate.
 CELL_ROWS, SHARD_ROWS = 4096, 24_576
-#: The centroids are fitted on at most this many vectors for each of at most so many cells.
-SAMPLE_PER_CELL, MAX_CELLS = 48, 2048
+#: Centroids are fitted on this many vectors for each cell. One level has at most so many cells, which bounds the
+#: sample on the driver; with more, the square root of their number is fitted there, and each of these is cut
+#: again by a task. Two levels hold for some 10^10 vectors, at MAX_CELLS^2 cells of CELL_ROWS.
+SAMPLE_PER_CELL, MAX_CELLS = 48, 1024
+#: Rows that are routed to the cells of the second level at once.
+ROUTE_ROWS = 32_768
 #: A vector also belongs to the next cells whose centroid is nearly as similar.
 CLOSURE, MAX_CELLS_OF_ROW = 0.05, 3
 #: Out-degree kept by pruning, slack before reverse edges are pruned, beam width, relaxation, queries a block.
 DEGREE, SLACK, BEAM, ALPHA, BLOCK = 24, 12, 32, 1.2, 96
 #: Neighbours from its own batch that are proposed to a node besides those found on the graph.
 BATCH_MATES = 8
-#: Ids of exact copies that travel with their vector; further copies take over the list of the last of these.
+#: Ids of exact copies that travel with their vector, and at least k + 1; further copies take over the list of the
+#: last of these.
 COPIES = 6
 
 
@@ -221,11 +227,13 @@ def search_all(g: Graph, queries: np.ndarray, k: int, beam: int = BEAM, block: i
 
 @dataclass
 class Cells:
-    """Centroids of the cells and into how many shards each cell is split; fitted on a bounded sample."""
+    """Centroids of the cells, into how many shards each cell is split, and into how many cells of a second level;
+    fitted on a bounded sample."""
 
     centroids: np.ndarray
     shards: np.ndarray
     dim: int
+    split: np.ndarray | None = None
 
     def of(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, cells) of the nearest cell, then of the next ones within the closure."""
@@ -236,6 +244,19 @@ class Cells:
         near = sims >= sims[:, :1] - CLOSURE
         return [(rows := np.flatnonzero(near[:, j]), order[rows, j]) for j in range(most)]
 
+    def spread(self, unit: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, shard, member): every shard a row is searched in; it is a node of one shard of each cell."""
+        at, cell, shard, member = [], [], [], []
+        for r, c in self.of(unit):
+            count = self.shards[c]
+            for s in range(int(count.max(initial=0))):
+                some = count > s
+                at.append(r[some])
+                cell.append(c[some])
+                shard.append(np.full(some.sum(), s))
+                member.append(h[r[some]].view(np.uint64) % count[some].astype(np.uint64) == s)
+        return tuple(map(np.concatenate, (at, cell, shard, member)))
+
 
 def as_matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, values): the usable vectors of an Arrow list column: of that length, finite, without nulls, not zero."""
@@ -266,15 +287,27 @@ def spherical_means(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -
     return means
 
 
-def fit_cells(vectors: DataFrame, cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS) -> Cells | None:
-    """Cells from a sample of at most SAMPLE_PER_CELL * MAX_CELLS vectors, taken by a hash of the vectors' ids.
-    The index itself takes in every vector. A cell that would outgrow a shard is split by hash into several."""
+def _sampled(vectors: DataFrame, share: float) -> DataFrame:
+    """About that share of the rows, by a hash of their ids."""
+    usable = vectors.where(F.col("vector").isNotNull())
+    return usable if share >= 1 else usable.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000_000)) < int(1e9 * share) + 1)
+
+
+def _shards_of(fitted: Cells, unit: np.ndarray, rows: float, shard_rows: int) -> np.ndarray:
+    """How many shards each cell takes, if the sample stands for so many rows."""
+    share = sum(np.bincount(c, minlength=len(fitted.centroids)) for _, c in fitted.of(unit)) / len(unit)
+    return np.maximum(1, np.ceil(share * rows / shard_rows)).astype(np.int64)
+
+
+def fit_cells(vectors: DataFrame, cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS, max_cells: int = MAX_CELLS) -> Cells | None:
+    """The first level of cells, from a sample of at most 2 * SAMPLE_PER_CELL * max_cells vectors, taken by a hash of
+    the vectors' ids. The index itself takes in every vector. A cell that would outgrow a shard is split by hash
+    into several; where more than max_cells are wanted, ``split`` tells how many each is cut into."""
     rows = vectors.count()
-    cells = int(min(MAX_CELLS, max(1, round(rows / cell_rows))))
+    wanted_cells = max(1, round(rows / cell_rows))
+    cells = wanted_cells if wanted_cells <= max_cells else min(max_cells, int(np.ceil(np.sqrt(wanted_cells))))
     wanted = max(1024, SAMPLE_PER_CELL * cells)
-    sample = vectors.where(F.col("vector").isNotNull())
-    if rows > 2 * wanted:
-        sample = sample.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(1_000_000 * wanted / rows) + 1)
+    sample = _sampled(vectors, wanted / rows if rows > 2 * wanted else 1)
     got = sample.select("vector").limit(2 * wanted).toArrow().column(0).combine_chunks()
     if isinstance(got, pa.ChunkedArray):
         got = pa.concat_arrays(got.chunks) if got.num_chunks else pa.array([], pa.list_(pa.float32()))
@@ -289,11 +322,42 @@ def fit_cells(vectors: DataFrame, cell_rows: int = CELL_ROWS, shard_rows: int =
     unit = unit_vectors(values)
     means = spherical_means(unit, min(cells, len(unit)))
     fitted = Cells(means, np.ones(len(means), np.int64), dim)
-    share = sum(np.bincount(c, minlength=len(means)) for _, c in fitted.of(unit)) / len(unit)
-    fitted.shards = np.maximum(1, np.ceil(share * rows / shard_rows)).astype(np.int64)
+    if cells == wanted_cells:
+        fitted.shards = _shards_of(fitted, unit, rows, shard_rows)
+    else:
+        share = np.bincount(fitted.of(unit)[0][1], minlength=len(means)) / len(unit)
+        fitted.split = np.clip(np.rint(share * rows / cell_rows), 1, max_cells).astype(np.int64)
+        fitted.shards = np.maximum(1, np.ceil(1.5 * share * rows / ROUTE_ROWS)).astype(np.int64)  # parts routed alone
     return fitted
 
 
+def fit_second(vectors: DataFrame, shared, rows: int, shard_rows: int) -> DataFrame:
+    """(cell, centroids binary, shards binary): the second level of every cell, fitted by a task a cell on about
+    SAMPLE_PER_CELL vectors for each of its cells, at most 2 * SAMPLE_PER_CELL * MAX_CELLS."""
+    dim, split = shared.value.dim, shared.value.split
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, values = as_matrix(batch.column(0), dim)
+            if len(values):
+                _, cell = shared.value.of(unit_vectors(values))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(_planes(values), pa.binary())], names=["cell", "vec"])
+
+    def fit(key: tuple, group: pa.Table) -> pa.Table:
+        cell = key[0].as_py()
+        packed = sorted(group.column("vec").to_pylist())[: 2 * SAMPLE_PER_CELL * int(split[cell]) + 1024]
+        unit = unit_vectors(_from_planes(packed, dim))
+        fitted = Cells(spherical_means(unit, min(int(split[cell]), len(unit))), np.zeros(0), dim)
+        # the sample stands for the cell's share of all rows
+        shards = _shards_of(fitted, unit, group.num_rows * per_row, shard_rows)
+        return pa.table({"cell": pa.array([cell], pa.int32()), "centroids": pa.array([fitted.centroids.astype(np.float32).tobytes()], pa.binary()), "shards": pa.array([shards.tobytes()], pa.binary())})
+
+    share = min(1.0, SAMPLE_PER_CELL * float(split.sum()) / rows)
+    per_row = 1 / share
+    placed = _sampled(vectors, share).select("vector").mapInArrow(place, "cell int, vec binary")
+    return placed.groupBy("cell").applyInArrow(fit, "cell int, centroids binary, shards binary")
+
+
 # ---------------------------------------------------------------- operator
 
 
@@ -369,7 +433,7 @@ def shard_lists(values: np.ndarray, ids: list[list[str]], members: np.ndarray, k
                 yield x, [p for p in (sorted(copies + near)[: k + 1] if len(copies) > 1 else near) if p[1] != x][:k]
 
 
-def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5, least: float = COSINE_GATE, cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5, least: float = COSINE_GATE, cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS, max_cells: int = MAX_CELLS) -> DataFrame:
     """(id string, near array<struct<neg:bigint,id:string>>): for every usable vector its at most k nearest
     others with a cosine of at least ``least``, nearest first; neg is minus the cosine in millionths.
 
@@ -377,18 +441,23 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
     many are equal: what the graph leaves undecided is settled by a scan of the shard. Null
     ids, and vectors that are null, all zero, not finite, with null elements or of a length other than the
     usual one take no part. Repeated rows count once. Copies of a vector are one node that carries the
-    smallest COPIES ids; further copies take the list of the last of these, which is theirs as well. A vector
-    without near ones has an empty list. No usable vector: no rows. Other columns are ignored.
+    smallest k + 1 ids or more; further copies take the list of the last of these, which is theirs as well. A
+    vector without near ones has an empty list. No usable vector: no rows. Other columns are ignored.
+
+    Beyond max_cells cells, rows are routed in two steps, the second one a part of a cell at a time. So a row is
+    sent to a few shards however many rows there are, and neither the driver nor a broadcast grows with them.
     """
-    if k >= COPIES:
-        raise ValueError(f"k must be below {COPIES}")
-    spark = df.sparkSession
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spark, carried = df.sparkSession, max(COPIES, k + 1)
     vectors = df.select(F.col(id_column).cast("string").alias("id"), F.col(vector_column).cast("array<float>").alias("vector")).where("id is not null and vector is not null")
     empty = "id string, near array<struct<neg:bigint,id:string>>"
-    cells = fit_cells(vectors, cell_rows, shard_rows)
+    cells = fit_cells(vectors, cell_rows, shard_rows, max_cells)
     if cells is None:
         return spark.createDataFrame([], empty)
     shared = spark.sparkContext.broadcast(cells)
+    columns = "cell int, sub int, shard int, member boolean, ids array<string>, vec binary, h bigint"
+    names_of = [c.split()[0] for c in columns.split(", ")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
@@ -408,34 +477,42 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
                     keep.append(i)
             sets = list(ids.values())
             values, h = values[keep], h[keep]
-            few = [sorted(s)[:COPIES] for s in sets]
+            few = [sorted(s)[:carried] for s in sets]
             packed = _planes(values)
-            at, cell, shard, member = [], [], [], []
-            for r, c in cells.of(unit_vectors(values)):
-                count = cells.shards[c]
-                for s in range(int(count.max(initial=0))):
-                    some = count > s
-                    at.append(r[some])
-                    cell.append(c[some])
-                    shard.append(np.full(some.sum(), s))
-                    member.append(h[r[some]].view(np.uint64) % count[some].astype(np.uint64) == s)
-            at, cell, shard, member = (np.concatenate(x) for x in (at, cell, shard, member))
+            unit = unit_vectors(values)
+            if cells.split is None:
+                at, cell, shard, member = cells.spread(unit, h)
+            else:  # to the cell's part that is routed by one task
+                at, cell = map(np.concatenate, zip(*cells.of(unit), strict=True))
+                shard, member = (h[at].view(np.uint64) % cells.shards[cell].astype(np.uint64)).astype(np.int64), np.ones(len(at), bool)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(cell.astype(np.int32)),
-                    pa.array(shard.astype(np.int32)),
-                    pa.array(member),
-                    pa.array([few[i] for i in at], pa.list_(pa.string())),
-                    pa.array(packed, pa.binary()).take(pa.array(at)),
+                    pa.array(cell.astype(np.int32)), pa.array(np.zeros(len(at), np.int32)), pa.array(shard.astype(np.int32)), pa.array(member),
+                    pa.array([few[i] for i in at], pa.list_(pa.string())), pa.array(packed, pa.binary()).take(pa.array(at)), pa.array(h[at]),
                 ],
-                names=["cell", "shard", "member", "ids", "vec"],
-            )
+                names=names_of,
+            )
+
+    def route(rows: pa.Table, second: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows
+        values = _from_planes(rows.column("vec").to_pylist(), shared.value.dim)
+        if second.num_rows:
+            centroids = np.frombuffer(second.column("centroids")[0].as_py(), np.float32).reshape(-1, shared.value.dim)
+            inner = Cells(centroids, np.frombuffer(second.column("shards")[0].as_py(), np.int64), shared.value.dim)
+        else:  # no row of the sample fell into the cell
+            inner = Cells(np.ones((1, shared.value.dim), np.float32), np.ones(1, np.int64), shared.value.dim)
+        at, cell, shard, member = inner.spread(unit_vectors(values), rows.column("h").to_numpy())
+        out = rows.take(pa.array(at))
+        for name, column in (("sub", pa.array(cell.astype(np.int32))), ("shard", pa.array(shard.astype(np.int32))), ("member", pa.array(member))):
+            out = out.set_column(out.schema.get_field_index(name), name, column)
+        return out
 
     def search(group: pa.Table) -> pa.Table:
         merged: dict[bytes, list] = {}
         for vec, ids, member in zip(*(group.column(c).to_pylist() for c in ("vec", "ids", "member")), strict=True):
             old = merged.get(vec)
-            merged[vec] = [ids, member] if old is None else [sorted({*old[0], *ids})[:COPIES], old[1] or member]
+            merged[vec] = [ids, member] if old is None else [sorted({*old[0], *ids})[:carried], old[1] or member]
         merged = dict(sorted(merged.items()))  # the same graph in whatever order the rows came
         values = _from_planes(list(merged), shared.value.dim)
         names, lists = [], []
@@ -445,26 +522,31 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
         return pa.table({"id": pa.array(names, pa.string()), "near": pa.array(lists, pa.list_(pa.struct([("neg", pa.int64()), ("id", pa.string())])))})
 
     keyed = vectors.select("id", "vector", F.xxhash64("vector").alias("h"))
-    placed = keyed.mapInArrow(place, "cell int, shard int, member boolean, ids array<string>, vec binary")
-    by_shard = placed.groupBy("cell", "shard").applyInArrow(search, empty)
+    placed = keyed.mapInArrow(place, columns)
+    if cells.split is not None:
+        second = cut(fit_second(vectors, shared, vectors.count(), shard_rows))
+        parts = spark.createDataFrame([(i, s) for i, n in enumerate(cells.shards.tolist()) for s in range(n)], "cell int, shard int")
+        offered = second.join(parts.hint("merge"), "cell")
+        placed = placed.groupBy("cell", "shard").cogroup(offered.groupBy("cell", "shard")).applyInArrow(route, columns)
+    by_shard = placed.groupBy("cell", "sub", "shard").applyInArrow(search, empty)
     # kept, as the lists are read twice and the graphs behind them are dear
     lists = cut(by_shard.groupBy("id").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(near)))), 1, {k})").alias("near")))
-    return lists.unionByName(_further_copies(vectors, lists))
+    return lists.unionByName(_further_copies(vectors, lists, carried))
 
 
-def _further_copies(vectors: DataFrame, lists: DataFrame) -> DataFrame:
-    """Lists of the ids that did not travel with their vector, because COPIES smaller ids have the same one."""
+def _further_copies(vectors: DataFrame, lists: DataFrame, carried: int) -> DataFrame:
+    """Lists of the ids that did not travel with their vector, because ``carried`` smaller ids have the same one.
+    Copies may be most of all rows: they meet their count and the list they take over by broadcast."""
     light = vectors.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
-    often = light.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select("h1", "h2")
-    rows = light.join(often, ["h1", "h2"], "left_semi").distinct()
-    # the COPIES smallest of each of 64 parts, then of those: no task gathers a group
+    often = light.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > carried).select("h1", "h2")
+    rows = cut(join_unique(light, often, ["h1", "h2"], "left_semi").distinct())
+    # the smallest of each of 64 parts, then of those: no task gathers a group
     part = F.pmod(F.xxhash64("id"), F.lit(64))
-    smallest = f"slice(array_sort(collect_list(id)), 1, {COPIES})"
-    ranked = rows.withColumn("part", part).selectExpr("h1", "h2", "part", "id", "row_number() over (partition by h1, h2, part order by id) r").where(F.col("r") <= COPIES)
-    last = ranked.groupBy("h1", "h2").agg(F.expr(smallest).alias("least")).where(F.size("least") == COPIES).select("h1", "h2", F.element_at("least", COPIES).alias("last"))
-    rest = rows.join(last, ["h1", "h2"]).where(F.col("id") > F.col("last"))
-    taken = lists.select(F.col("id").alias("last"), "near")
-    return rest.join(taken, "last").select("id", "near")
+    smallest = f"slice(array_sort(collect_list(id)), 1, {carried})"
+    ranked = rows.withColumn("part", part).selectExpr("h1", "h2", "part", "id", "row_number() over (partition by h1, h2, part order by id) r").where(F.col("r") <= carried)
+    last = ranked.groupBy("h1", "h2").agg(F.expr(smallest).alias("least")).where(F.size("least") == carried).select("h1", "h2", F.element_at("least", carried).alias("last"))
+    taken = last.join(lists.select(F.col("id").alias("last"), "near").hint("merge"), "last")
+    return join_unique(rows, taken, ["h1", "h2"]).where(F.col("id") > F.col("last")).select("id", "near")
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:

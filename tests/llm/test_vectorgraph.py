@@ -43,7 +43,7 @@ def test_pruning_keeps_diverse_edges():
     assert kept[0].tolist() == [1, 3, -1]  # 2 is nearer to 1 than to 0
 
 
-@pytest.mark.parametrize("split", [{}, {"cell_rows": 120, "shard_rows": 60}])
+@pytest.mark.parametrize("split", [{}, {"cell_rows": 120, "shard_rows": 60}, {"cell_rows": 60, "max_cells": 5}, {"cell_rows": 60, "shard_rows": 40, "max_cells": 5}])
 def test_recall_against_brute_force(spark, split):
     values = clustered(900, 24, 3)
     ids = [f"{i * 7919 % 100003:06d}" for i in range(900)]
@@ -62,7 +62,7 @@ def test_edge_cases(spark):
     assert run(spark, [("n", None, 1, "c")]) == {} and run(spark, []) == {}
     assert run(spark, [("only", a, 1, "c")]) == {"only": []}
     with pytest.raises(ValueError):
-        run(spark, [("x", a, 1, "c")], k=6)
+        run(spark, [("x", a, 1, "c")], k=0)
 
 
 def test_copies_share_the_smallest_ids(spark):
@@ -70,9 +70,10 @@ def test_copies_share_the_smallest_ids(spark):
     got = run(spark, rows)
     values = [r[1] for r in rows]
     assert got == brute(values, [r[0] for r in rows], 5, 0.75)
+    assert run(spark, rows, k=20) == brute(values, [r[0] for r in rows], 20, 0.75)
 
 
-@pytest.mark.parametrize("split", [{}, {"cell_rows": 120, "shard_rows": 60}])
+@pytest.mark.parametrize("split", [{}, {"cell_rows": 120, "shard_rows": 60}, {"cell_rows": 40, "max_cells": 4}])
 def test_of_many_equals_the_smallest_ids_come_first(spark, split):
     rng = np.random.default_rng(4)
     way = rng.normal(size=12)
