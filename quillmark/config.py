@@ -39,6 +39,9 @@ BM25_B = 0.75
 ROOTS_VARIABLE = "QUILLMARK_ROOTS"
 MODEL_VARIABLE = "QUILLMARK_MODEL_DIR"
 STATE_VARIABLE = "QUILLMARK_STATE_DIR"
+SOCKET_VARIABLE = "QUILLMARK_SOCKET"
+LOG_VARIABLE = "QUILLMARK_INJECTION_LOG"
+THREADS_VARIABLE = "QUILLMARK_EMBED_THREADS"
 
 
 class ConfigError(ValueError):
@@ -112,17 +115,27 @@ class Settings:
     roots: list[Root] = field(default_factory=list)
     state_dir: str = ""
     model_dir: str | None = None
+    socket: str = ""
+    injection_log: str = ""
+    embed_threads: int = 1
 
     @property
     def warehouse(self) -> str:
         return f"{self.state_dir}/warehouse"
 
     @property
-    def injection_log(self) -> str:
-        return f"{self.state_dir}/injections"
+    def watch_checkpoint(self) -> str:
+        return f"{self.state_dir}/watch"
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
+        """Empty variables count as unset. Embedding takes one thread a task unless told otherwise, as the tasks of
+        a machine are as many as its cores; what is no whole number above 0 is ignored."""
         env = dict(os.environ) if env is None else env
-        state = env.get(STATE_VARIABLE) or f"{env.get('HOME', '.')}/.local/state/quillmark"
-        return cls(parse_roots(env.get(ROOTS_VARIABLE)), state, env.get(MODEL_VARIABLE) or None)
+        base = env.get("XDG_STATE_HOME") or f"{env.get('HOME') or '.'}/.local/state"
+        state = env.get(STATE_VARIABLE) or f"{base}/quillmark"
+        threads = env.get(THREADS_VARIABLE) or ""
+        return cls(
+            parse_roots(env.get(ROOTS_VARIABLE)), state, env.get(MODEL_VARIABLE) or None, env.get(SOCKET_VARIABLE) or f"{state}/daemon.sock",
+            env.get(LOG_VARIABLE) or f"{state}/injections", int(threads) if threads.isdecimal() and int(threads) else 1,
+        )

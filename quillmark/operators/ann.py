@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from quillmark.operators.lexical import ranked
 
-#: Vectors the centroids are fitted on, at most; vectors of a cell on average; cells at most.
-SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 32_768, 1024, 1024
+#: Vectors the centroids are fitted on, at most; vectors of a cell on average; cells at most, as each takes some of
+#: the sample. With more rows cells grow; what a search returns does not depend on it.
+SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 65_536, 1024, 4096
 #: Cells a query looks into first; what it finds there tells which of the others it needs.
 PROBES = 16
 #: What rounding may take from a bound, and by how much a row may be nearer to another cell than to its own.
@@ -54,7 +55,7 @@ class Cells:
         return out
 
 
-def _matrix(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+def usable_matrix(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, unit vectors) of the usable vectors of a list column."""
     length = np.asarray(column.value_lengths().fill_null(0))
     dim = dim or (int(np.bincount(length[length > 0]).argmax()) if (length > 0).any() else 0)
@@ -74,7 +75,7 @@ def fit_cells(rows: DataFrame, vector: str = "vector", seed: int = 3, rounds: in
     chunks = sample.chunks if isinstance(sample, pa.ChunkedArray) else [sample]
     if not chunks:
         return None
-    _, unit = _matrix(pa.concat_arrays(chunks), None)
+    _, unit = usable_matrix(pa.concat_arrays(chunks), None)
     if not len(unit):
         return None
     rng = np.random.default_rng(seed)
@@ -86,10 +87,10 @@ def fit_cells(rows: DataFrame, vector: str = "vector", seed: int = 3, rounds: in
         np.add.at(sums, cell, unit)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centroids)
-    return Cells(centroids, _spans(rows, centroids, vector))
+    return Cells(centroids, spans(rows, centroids, vector))
 
 
-def _spans(rows: DataFrame, centroids: np.ndarray, vector: str) -> np.ndarray:
+def spans(rows: DataFrame, centroids: np.ndarray, vector: str) -> np.ndarray:
     """The span of every cell over all usable rows. A row counts for all cells it is equally near to, as another
     pass may put it into any of them."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)
@@ -98,7 +99,7 @@ def _spans(rows: DataFrame, centroids: np.ndarray, vector: str) -> np.ndarray:
         centroids = shared.value
         least, most = np.full(len(centroids), np.inf), np.full(len(centroids), -np.inf)
         for batch in batches:
-            _, unit = _matrix(batch.column(0), centroids.shape[1])
+            _, unit = usable_matrix(batch.column(0), centroids.shape[1])
             if not len(unit):
                 continue
             close = unit @ centroids.T
@@ -124,7 +125,7 @@ def with_cells(rows: DataFrame, cells: Cells, vector: str = "vector") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, unit = _matrix(batch.column(place), shared.value.centroids.shape[1])
+            at, unit = usable_matrix(batch.column(place), shared.value.centroids.shape[1])
             cell = np.full(len(batch), -1, np.int32)
             if len(at):
                 cell[at] = shared.value.nearest(unit, 1)[:, 0]
@@ -164,7 +165,7 @@ def _best_of_cells(celled: DataFrame, units: list, wide: np.ndarray, asks: np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, q, asks = shared.value
         for batch in batches:
-            at, unit = _matrix(batch.column(2), q.shape[1])
+            at, unit = usable_matrix(batch.column(2), q.shape[1])
             cell, ids = np.asarray(batch.column(1))[at], batch.column(0).take(pa.array(at)).to_pylist()
             best: dict[int, list[tuple[float, int]]] = {}
             for c in np.unique(cell):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.config import BM25_B, BM25_K1
+from quillmark.session import cut
 
 
 def tokens(text: Column) -> Column:
@@ -29,10 +30,17 @@ class LexicalIndex:
     corpus: DataFrame
 
 
+def postings_of(docs: DataFrame, also: list[str]) -> DataFrame:
+    """(also..., id, len, term, tf) of documents (also..., id, text)."""
+    worded = docs.select(*also, "id", tokens(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    return worded.select(*also, "id", "len", F.explode("words").alias("term")).groupBy(*also, "id", "len", "term").agg(F.count("*").alias("tf"))
+
+
 def build_lexical_index(docs: DataFrame, id_column: str = "id", text_column: str = "text") -> LexicalIndex:
     """Statistics are those of all given rows. Ids are taken as unique; an empty text counts as a document."""
-    worded = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("words")).withColumn("len", F.size("words"))
-    postings = worded.select("id", "len", F.explode("words").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    worded = named.select(F.size(tokens(F.col("text"))).alias("len"))
+    postings = postings_of(named, [])
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = worded.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
     return LexicalIndex(postings, terms, corpus)
@@ -68,6 +76,8 @@ def ranked(scores: DataFrame, limit: int, score: str = "score") -> DataFrame:
 
 #: Query units scored against a batch at once, and rows of a batch scored at once.
 UNITS_PER_BLOCK, ROWS_AT_ONCE = 512, 1000
+#: Query terms that are broadcast to be counted; more are joined by sorting.
+BROADCAST_TERMS = 500_000
 
 
 def best_of(score: np.ndarray, ids: np.ndarray, units: list, k: int, least: float) -> Iterator[tuple]:
@@ -79,22 +89,49 @@ def best_of(score: np.ndarray, ids: np.ndarray, units: list, k: int, least: floa
             yield unit, ids[j], float(row[j])
 
 
+#: A term that more units of a block ask for is scored by a matrix product, others posting by posting.
+COMMON_UNITS = 16
+
+
 @dataclass
 class Bm25Block:
-    """Some query units, ready to score batches: their terms, the terms' weights, and which unit asks for which."""
+    """Some query units, ready to score batches: their terms, the terms' weights, and which units ask for each term:
+    units[starts[term]:starts[term + 1]] of ``askers``; terms many ask for have a row of ``common`` besides."""
 
     units: list
     vocabulary: list[str]
     idf: np.ndarray
-    asked: np.ndarray
+    starts: np.ndarray
+    askers: np.ndarray
     average: float
     k1: float
     b: float
 
-    def score(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """(unit, row) from counts (row, term) and the rows' lengths."""
-        weight = self.idf * tf * (self.k1 + 1) / (tf + (self.k1 * (1 - self.b + self.b * length / self.average))[:, None])
-        return (weight @ self.asked).T
+    def __post_init__(self):
+        count = np.diff(self.starts)
+        self.row_of = np.full(len(count), -1)
+        often = np.flatnonzero(count > COMMON_UNITS)
+        self.row_of[often] = np.arange(len(often))
+        self.common = np.zeros((len(often), len(self.units)))
+        for i, t in enumerate(often):
+            self.common[i, self.askers[self.starts[t] : self.starts[t + 1]]] = 1
+
+    def score(self, row: np.ndarray, term: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(unit, row) from the occurrences (row, term) of known terms and the rows' lengths. Memory follows from the
+        postings and the common terms, not from the whole vocabulary."""
+        n = len(length)
+        key, tf = np.unique(row * len(self.vocabulary) + term, return_counts=True)
+        row, term = np.divmod(key, max(len(self.vocabulary), 1))
+        weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.average))
+        often = self.row_of[term] >= 0
+        dense = np.zeros((n, len(self.common)))
+        dense[row[often], self.row_of[term[often]]] = weight[often]
+        row, term, weight = row[~often], term[~often], weight[~often]
+        asked = self.starts[term + 1] - self.starts[term]
+        posting = np.repeat(np.arange(len(term)), asked)
+        unit = self.askers[np.arange(len(posting)) + np.repeat(self.starts[term] - np.cumsum(asked) + asked, asked)]
+        rare = np.bincount(unit * n + row[posting], weight[posting], minlength=len(self.units) * n).reshape(len(self.units), n)
+        return (dense @ self.common).T + rare
 
 
 def stream_best(docs: DataFrame, k: int, blocks: list[Bm25Block], unit_type: str) -> DataFrame:
@@ -120,9 +157,8 @@ def stream_best(docs: DataFrame, k: int, blocks: list[Bm25Block], unit_type: str
                     column = pc.index_in(words.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                     length = np.bincount(row, minlength=len(part)).astype(float)
                     row, column = row[column >= 0], column[column >= 0]
-                    counts = np.bincount(row * len(known) + column, minlength=len(part) * len(known)).reshape(len(part), len(known))
                     # the score of a match is positive; equal to nine decimals means equal
-                    scores = np.round(held.score(counts.astype(float), length), 9)
+                    scores = np.round(held.score(row, column, length), 9)
                     found += best_of(scores, np.array(part.column(0).to_pylist(), object), held.units, k, 1e-9)
                 columns = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, run.types, strict=True)], names=["unit", "id", "score"])
@@ -156,20 +192,23 @@ def bm25_best(docs: DataFrame, queries: DataFrame, k: int, within: DataFrame | N
     worded = docs.select(tokens(F.col("text")).alias("words"))
     total, average = worded.agg(F.count("*"), F.avg(F.size("words"))).first()
     average = float(average or 0) or 1.0
+    spark = docs.sparkSession
+    asked = query_terms(queries).select("term").distinct()
+    small = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked.hint("merge")
+    frequency = worded.select(F.explode(F.array_distinct("words")).alias("term")).join(small, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    frequency = cut(frequency)  # one pass for the terms of all blocks
     blocks = []
     for units, terms in query_blocks(queries):
         vocabulary = {w: i for i, w in enumerate(sorted({w for t in terms for w in t}))}
         if not vocabulary:
             continue
-        wanted = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "term string")
-        seen = worded.select(F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        wanted = spark.createDataFrame([(w,) for w in vocabulary], "term string")
         df = np.zeros(len(vocabulary))
-        for r in seen.collect():  # at most the block's own terms
+        for r in frequency.join(F.broadcast(wanted), "term", "left_semi").collect():  # at most the block's own terms
             df[vocabulary[r.term]] = r.df
         idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
-        asked = np.zeros((len(vocabulary), len(units)))
-        for i, t in enumerate(terms):
-            asked[[vocabulary[w] for w in set(t)], i] = 1
-
-        blocks.append(Bm25Block(units, list(vocabulary), idf, asked, average, k1, b))
+        pairs = sorted({(vocabulary[w], i) for i, t in enumerate(terms) for w in t})
+        term, unit = np.array(pairs).T
+        starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+        blocks.append(Bm25Block(units, list(vocabulary), idf, starts, unit, average, k1, b))
     return stream_best(docs if within is None else within, k, blocks, queries.schema["unit"].dataType.simpleString())

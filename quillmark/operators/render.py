@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.columns import empty_if_null
 
-FACTS_FRAMING = "Remembered facts that may bear on this prompt. Check them against the present state before relying on them:"
-NOTES_FRAMING = "Notes that may bear on this prompt. Open the files that look relevant:"
+FACTS_FRAMING = "Recorded facts and preferences that may bear on this prompt. Open the exact files; each note is itself the source:"
+NOTES_FRAMING = "Dated notes that may bear on this prompt. Open the exact files, and check what they describe against its present state:"
 FACTS_LABEL = "memory"
 NO_HITS = "No matching notes in the index."
 
@@ -20,10 +20,10 @@ def _or(c: str, default: Column) -> Column:
 def pointer_line() -> Column:
     """One line of a pointer: path, heading, source, cosine and date."""
     heading = F.when(empty_if_null(F.col("heading_path")) == "", F.lit("")).otherwise(F.concat(F.lit(" > "), F.col("heading_path")))
+    captured = F.when(empty_if_null(F.col("captured")) == "", F.lit("captured: unknown")).otherwise(F.concat(F.lit("captured "), F.col("captured")))
     return F.format_string(
-        "  %s%s  (source %s, cos %.2f, captured %s)",
-        _or("path", F.col("rel_path")), heading, _or("source_type", F.lit("notes")), F.col("cosine"), _or("captured", F.lit("unknown")),
-    )
+        "  %s%s  (source %s, cos %.2f, %s)", _or("path", F.col("rel_path")), heading, _or("source_type", F.lit("notes")), F.col("cosine"), captured
+    )
 
 
 def framing() -> Column:
@@ -49,10 +49,10 @@ def pointer_block(pointers: DataFrame, within: list[str], order: str) -> DataFra
 
 
 def hit_markdown() -> Column:
-    heading = F.when(empty_if_null(F.col("heading_path")) == "", F.lit("")).otherwise(F.concat(F.lit(" > "), F.col("heading_path")))
+    """A hit as a markdown section; the separator stands before an empty heading, too."""
     return F.format_string(
-        "## %s:%s%s\n\ncosine %.3f | captured %s\n\n%s",
-        F.col("source_type"), F.col("rel_path"), heading, F.col("cosine"), _or("captured", F.lit("unknown")), F.col("text"),
+        "## %s:%s > %s\ncosine %.3f | captured %s\n\n%s",
+        F.col("source_type"), F.col("rel_path"), empty_if_null(F.col("heading_path")), F.col("cosine"), _or("captured", F.lit("unknown")), F.col("text"),
     )
 
 

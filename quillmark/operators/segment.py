@@ -58,6 +58,12 @@ def section_rows(notes: DataFrame, text_column: str) -> DataFrame:
     )
 
 
+def paragraph_units(bodies: DataFrame, text_column: str) -> DataFrame:
+    """The other columns with unit_ix and unit of each paragraph, or of each part of a long one."""
+    rest = [c for c in bodies.columns if c != text_column]
+    return _expand(bodies, rest, [text_column], "unit_ix int, unit string", [pa.int32(), pa.string()], lambda t: enumerate(T.units(t)))
+
+
 def chunk_notes(notes: DataFrame, title_column: str = "title", text_column: str = "raw_text") -> DataFrame:
     """The other columns with text, heading_path, chunk_ix, entities, note_type, captured and tags of each chunk."""
     rest = [c for c in notes.columns if c not in (text_column, title_column)]

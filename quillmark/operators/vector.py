@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -15,64 +14,94 @@ from pyspark.sql import functions as F
 from quillmark.config import EMBED_DIM
 from quillmark.functions.columns import cosine
 from quillmark.operators.embedders import HashEmbedder
-from quillmark.operators.lexical import ROWS_AT_ONCE, arrow_type, best_of, query_blocks, tokens
+from quillmark.operators.ann import usable_matrix
+from quillmark.operators.lexical import ROWS_AT_ONCE, arrow_type, best_of, query_blocks, ranked, tokens
+from quillmark.session import cut
 
 #: Query vectors compared with all rows at once; more go in further blocks.
 QUERIES_PER_BLOCK = 4096
 
 
+def _blocks(queries: DataFrame, size: int) -> list[DataFrame]:
+    """The stated query set in parts of about ``size`` rows."""
+    n = max(1, -(-queries.count() // size))
+    return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("unit"), F.lit(n)) == i) for i in range(n)]
+
+
 def cosine_scores(rows: DataFrame, queries: DataFrame, vector: str = "vector") -> DataFrame:
     """(unit, id, score): the cosine of every query unit (unit, query_vector) with every row (id, vector).
 
-    The stated query set is broadcast; rows stream by once and are never shuffled before they are ranked.
+    The stated query set is broadcast in blocks of QUERIES_PER_BLOCK; rows stream by once a block and are never
+    shuffled before they are ranked.
     """
-    pairs = rows.select("id", F.col(vector).alias("_v")).crossJoin(F.broadcast(queries.select("unit", "query_vector")))
-    return pairs.select("unit", "id", cosine(F.col("_v"), F.col("query_vector")).alias("score"))
+    held = rows.select("id", F.col(vector).alias("_v"))
+    pairs = [held.crossJoin(F.broadcast(block.select("unit", "query_vector"))) for block in _blocks(queries, QUERIES_PER_BLOCK)]
+    return reduce(DataFrame.unionByName, pairs).select("unit", "id", cosine(F.col("_v"), F.col("query_vector")).alias("score"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector") -> DataFrame:
-    """(unit, id, score) of the k most similar rows of every query, by matrix products over Arrow batches.
-
-    Each batch keeps its own k best a query, so what is shuffled is k rows a query and batch. The query set is
-    collected in blocks of QUERIES_PER_BLOCK. Rows whose vector is null, zero or of another length are left out.
-    """
+def _over_blocks(rows: DataFrame, queries: DataFrame, vector: str, schema: str, score: Callable, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """score(units, ids, cosines) over Arrow batches of rows and blocks of queries, as an Arrow batch each. With
+    several blocks the result of each is kept (``keep``) and written before the next is sent, so that one block is
+    broadcast at a time."""
     spark = rows.sparkSession
     parts = []
-    total = queries.count()
-    blocks = max(1, -(-total // QUERIES_PER_BLOCK))
-    kind = rows.schema["id"].dataType.simpleString()
-    unit_kind = queries.schema["unit"].dataType.simpleString()
-    schema = f"unit {unit_kind}, id {kind}, score double"
-    for block in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64("unit"), F.lit(blocks)) == block).select("unit", "query_vector").toPandas()
-        if not len(held):
+    blocks = _blocks(queries, QUERIES_PER_BLOCK)
+    names = [c.split()[0] for c in schema.split(", ")]
+    for block in blocks:
+        held = block.select("unit", "query_vector").toArrow().combine_chunks()
+        at, wide = usable_matrix(_flat(held.column(1)), None)
+        if not len(at):
             continue
-        wide = np.stack(held["query_vector"].to_numpy()).astype(np.float64)
-        wide /= np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((held["unit"].to_numpy(), wide))
+        shared = spark.sparkContext.broadcast((_flat(held.column(0)).take(pa.array(at)), wide))
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             units, q = shared.value
             for batch in batches:
-                usable = batch[batch["v"].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if not len(usable):
-                    continue
-                x = np.stack(usable["v"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                x, ids = x[norm > 0] / norm[norm > 0, None], usable["id"].to_numpy()[norm > 0]
-                score = np.round(q @ x.T, 9)
-                for i, unit in enumerate(units):
-                    limit = np.partition(score[i], -k)[-k] if len(ids) > k else -np.inf
-                    keep = np.flatnonzero(score[i] >= limit)  # ties at the limit are settled by the ranking
-                    yield pd.DataFrame({"unit": unit, "id": ids[keep], "score": score[i][keep]})
-
-        parts.append(rows.select("id", F.col(vector).alias("v")).mapInPandas(best, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+                found, unit = usable_matrix(batch.column(1), q.shape[1])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays(score(units, batch.column(0).take(pa.array(found)), np.round(q @ unit.T, 9)), names=names)
+
+        part = rows.select("id", F.col(vector).alias("v")).mapInArrow(run, schema)
+        if len(blocks) > 1:
+            part = cut(keep(part))
+            shared.unpersist()
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    if isinstance(column, pa.ChunkedArray):
+        return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector") -> DataFrame:
+    """(unit, id, score) of the k most similar rows of every query, by matrix products over Arrow batches.
+
+    Each batch keeps its own k best a query, with all that tie at the limit, so what is shuffled is k rows a query
+    and batch. Rows and queries whose vector is null, zero or of another length are left out.
+    """
+
+    def best(units: pa.Array, ids: pa.Array, cosines: np.ndarray) -> list[pa.Array]:
+        limit = np.partition(cosines, -k, axis=1)[:, -k, None] if len(ids) > k else -np.inf
+        u, r = np.nonzero(cosines >= limit)  # ties at the limit are settled by the ranking
+        return [units.take(pa.array(u)), ids.take(pa.array(r)), pa.array(cosines[u, r])]
+
+    schema = f"unit {queries.schema['unit'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    return _over_blocks(rows, queries, vector, schema, best, lambda part: ranked(part, k).drop("rank"))
+
+
+def links_above(rows: DataFrame, queries: DataFrame, least: float, vector: str = "vector") -> DataFrame:
+    """(unit, links, best): how many rows other than itself have a cosine of at least ``least`` with a query, and the
+    greatest of these. Batches count for themselves, so no pair is written."""
+
+    def count(units: pa.Array, ids: pa.Array, cosines: np.ndarray) -> list[pa.Array]:
+        near = (cosines >= least) & (np.array(units.to_pylist(), object)[:, None] != np.array(ids.to_pylist(), object))
+        u = np.flatnonzero(near.any(axis=1))
+        return [units.take(pa.array(u)), pa.array(near[u].sum(axis=1)), pa.array(np.where(near[u], cosines[u], -np.inf).max(axis=1, initial=-np.inf))]
+
+    total = lambda part: part.groupBy("unit").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    return total(_over_blocks(rows, queries, vector, f"unit {queries.schema['unit'].dataType.simpleString()}, links bigint, best double", count, total))
 
 
 def hash_bucket(term: Column, dim: int = EMBED_DIM) -> Column:
@@ -123,9 +152,3 @@ def hash_best(docs: DataFrame, queries: DataFrame, k: int, dim: int = EMBED_DIM)
     if not parts:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
-
-
-def sparse_cosine(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(unit, id, score) over sparse unit vectors: rows (id, bucket, value), queries (unit, bucket, value)."""
-    q = queries.select("unit", "bucket", F.col("value").alias("q"))
-    return rows.join(q, "bucket").groupBy("unit", "id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from quillmark.functions.columns import chunk_id, content_hash, file_stem, is_excluded, is_indexable
 from quillmark.operators import changes, merge
 from quillmark.operators.segment import chunk_notes, frontmatter_fields, query_units, section_rows
+from quillmark.plans import text_sql
 from quillmark.session import table
 
 S = SparkSession
 
 
 def _files(spark: S, d: str) -> DataFrame:
-    """The notes waiting for a sweep, each source once, with the digest of its bytes."""
-    return table(spark, d, "notes").select("source_type", "source_id", "rel_path", "title", "raw_text", content_hash(F.col("raw_text")).alias("content_hash")).dropDuplicates(["source_id"])
+    """The notes waiting for a sweep, each source's latest version, with the digest of its bytes."""
+    notes = table(spark, d, "notes")
+    latest = notes.groupBy("source_id").agg(F.max(F.struct("seen_at", "raw_text", "source_type", "rel_path", "title")).alias("n"))
+    return latest.select("n.source_type", "source_id", "n.rel_path", "n.title", "n.raw_text", content_hash(F.col("n.raw_text")).alias("content_hash"))
 
 
 def q_content_hash(spark: S, d: str) -> DataFrame:
@@ -153,6 +156,14 @@ def q_split_body_chunks(spark: S, d: str) -> DataFrame:
     return chunk_notes(notes).select(chunk_id(F.col("source_id"), F.col("chunk_ix")).alias("id"), "source_id", "chunk_ix", "heading_path", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+def q_paragraph_units(spark: S, d: str) -> DataFrame:
+    """Paragraphs of every section, long ones packed line by line."""
+    from quillmark.operators.segment import paragraph_units
+
+    notes = table(spark, d, "notes").select("source_id", "raw_text").distinct()
+    return paragraph_units(section_rows(notes, "raw_text").select("source_id", "ix", "body"), "body").select("source_id", "ix", "unit_ix", F.length("unit").alias("chars"), F.md5(F.col("unit").cast("binary")).alias("digest"))
+
+
 def q_hard_split(spark: S, d: str) -> DataFrame:
     """Slices of 2000 characters of every document."""
     docs = table(spark, d, "documents").where(F.length("text") > 0)
@@ -209,7 +220,8 @@ def q_full_vs_incremental(spark: S, d: str) -> DataFrame:
 
 
 _HASH = "sha256('\\x01\\x00\\x00\\x00'::blob || encode({}))"
-_FILES = f"(select distinct on (source_id) source_type, source_id, rel_path, title, raw_text, {_HASH.format('raw_text')} content_hash from notes)"
+_LATEST = "select source_id, unnest(max({'seen_at': seen_at, 'raw_text': raw_text, 'source_type': source_type, 'rel_path': rel_path, 'title': title})) from notes group by 1"
+_FILES = f"(select source_type, source_id, rel_path, title, raw_text, {_HASH.format('raw_text')} content_hash from ({_LATEST}))"
 _KNOWN = """(select source_id, m.h content_hash, m.t source_type, m.n n_chunks, m.i indexed_at from
   (select source_id, max({'ts': indexed_at::timestamptz, 'h': content_hash, 't': source_type, 'n': n_chunks, 'i': indexed_at}) m from manifest group by 1))"""
 _LABEL = "split_part(source_id, ':', 1)"
@@ -222,12 +234,15 @@ _ROUTED = """(with r as (select label, dir, ord from roots union all select 'all
   b as (select path, min_by(label, ord) label, min_by(dir, ord) dir from p left join r on starts_with(path, dir || '/') group by 1)
   select path, label, case when dir is not null then substr(path, length(dir) + 2) end rel_path from b)"""
 
+_CHUNKED = text_sql.chunks_of("notes_ as (select distinct source_id, md5(raw_text) version, title, raw_text from notes where raw_text is not null)")
+_CHUNKED_FILES = text_sql.chunks_of(f"notes_ as (select source_id, md5(raw_text) version, title, raw_text from ({_LATEST}) where raw_text is not null)")
+
 QUERIES = {
     name: globals()[f"q_{name}"]
     for name in (
         "content_hash source_chunk_ids indexable_paths change_detection orphan_prune sweep_targets merge_chunks_scoped merge_delete_only merge_manifest "
         "manifest_delete manifest_counts root_row_counts user_filter label_membership frontmatter_fields note_frontmatter wikilinks fence_parity "
-        "heading_sections split_body_chunks hard_split split_query_cap path_to_root root_batches debounce_batches index_stats_rollup full_vs_incremental"
+        "heading_sections paragraph_units split_body_chunks hard_split split_query_cap path_to_root root_batches debounce_batches index_stats_rollup full_vs_incremental"
     ).split()
 }
 SQL = {
@@ -272,4 +287,20 @@ SQL = {
     "index_stats_rollup": """with m as (select source_type label, count(*) s, count(distinct source_id) c, sum((n_chunks = 0)::int) r, sum(n_chunks) w from manifest group by 1)
       select sum(s)::bigint scanned, sum(c)::bigint changed, sum(r)::bigint removed, sum(w)::bigint chunks_written,
       string_agg(label || ': rows ' || w::bigint || '; ' || label || ': text', '; ' order by label) indexes from m""",
+    "note_frontmatter": text_sql.FRONTMATTER,
+    "heading_sections": f"{text_sql.with_sections()} select source_id, ix, heading_path, length(body)::int chars, md5(body) digest from sections_",
+    "paragraph_units": f"""{text_sql.with_sections()}, cut_ as (select (source_id, version, ix) k, body from sections_), {text_sql.pieces('cut_')}
+      select s.source_id, s.ix, (j - 1)::int unit_ix, length(unit)::int chars, md5(unit) digest from units_ u join sections_ s on u.k = (s.source_id, s.version, s.ix)""",
+    "split_body_chunks": f"""{_CHUNKED} select substr(sha256(source_id || ':' || chunk_ix), 1, 16) id, source_id, chunk_ix, heading_path, length(text)::int chars, md5(text) digest from chunked_""",
+    "split_query_cap": f"""with recursive asked as (select distinct on (log_id) log_id k, prompt body from injections where prompt is not null), {text_sql.pieces('asked')},
+      capped as (select k, cap, no, piece, max(no) over (partition by k) + 1 n from pieces_, unnest([5, 8]) t(cap))
+      select k log_id, cap::int cap, (row_number() over (partition by k, cap order by no) - 1)::int unit_ix, length(piece)::int chars, md5(piece) digest from capped
+      where n <= cap or no < cap - 1 or no = n - 1""",
+    "full_vs_incremental": f"""{_CHUNKED_FILES}, files as {_FILES}, known as {_KNOWN},
+      made as (select substr(sha256(source_id || ':' || chunk_ix), 1, 16) id, source_id, md5(text) digest from chunked_),
+      todo as (select source_id from files left join known k using (source_id) where k.content_hash is distinct from files.content_hash),
+      now as {_SLIM},
+      whole as (select id, digest from now where source_id not in (select source_id from files) union select id, digest from made),
+      part as (select id, digest from now where source_id not in (select source_id from todo) union select id, digest from made where source_id in (select source_id from todo))
+      select (select count(*) from (from whole intersect from part))::bigint in_both, (select count(*) from (from whole except from part))::bigint only_full, (select count(*) from (from part except from whole))::bigint only_incremental""",
 }

@@ -21,10 +21,12 @@ class FilterError(ValueError):
 
 
 def sql_quote(value: str) -> str:
+    """A string constant for a filter (F2)."""
     return "'" + value.replace("'", "''") + "'"
 
 
 def sql_in_list(values: list[str]) -> str:
+    """The right side of IN for a filter."""
     return "(" + ", ".join(map(sql_quote, values)) + ")"
 
 
@@ -36,8 +38,11 @@ def apply_filter(rows: DataFrame, predicate: str | None) -> DataFrame:
     outside = _STRING.sub("''", predicate)
     if _SUBQUERY.search(outside) or ";" in outside:
         raise FilterError(f"the filter may not hold a subquery or several statements: {predicate}")
+    # string constants stay as they are
+    pieces = _STRING.split(predicate)
     for alias, name in _ALIASES.items():
-        predicate = re.sub(rf"\b{alias}\s*\(", f"{name}(", predicate, flags=re.IGNORECASE)
+        pieces = [re.sub(rf"\b{alias}\s*\(", f"{name}(", p, flags=re.IGNORECASE) for p in pieces]
+    predicate = "".join(a + b for a, b in zip(pieces, [*_STRING.findall(predicate), ""], strict=True))
     kept = rows.where(F.expr(predicate))
     kept.schema  # noqa: B018  analyses now, so that a wrong filter fails here
     return kept

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import BM25_B, BM25_K1, COSINE_GATE, EMBED_DIM, QUERY_PREFIX
-from quillmark.functions.columns import cosine, instant, is_envelope, l2, normalised, trimmed
+from quillmark.functions.columns import instant, is_envelope, l2, normalised, trimmed
 from quillmark.operators import fusion, lexical, render, vector
 from quillmark.plans import search
 from quillmark.session import table
@@ -234,8 +234,7 @@ def q_entity_refs(spark: S, d: str) -> DataFrame:
 def q_similarity_join(spark: S, d: str) -> DataFrame:
     """Embeddings above a cosine of 0.4 with a query vector: how many, and the best."""
     rows, queries = _vectors(spark, d)
-    pairs = rows.crossJoin(F.broadcast(queries)).where(F.col("id") != F.col("unit")).select("unit", cosine(F.col("vector"), F.col("query_vector")).alias("c"))
-    return pairs.where("c >= 0.4").groupBy("unit").agg(F.count("*").alias("links"), F.round(F.max("c"), 6).alias("best"))
+    return vector.links_above(rows, queries, 0.4).select("unit", "links", F.round("best", 6).alias("best"))
 
 
 _WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
@@ -287,7 +286,7 @@ def _robin(source: str, within: str) -> str:
 
 
 _LINE = """'  ' || case when coalesce(path, '') = '' then rel_path else path end || case when coalesce(heading_path, '') = '' then '' else ' > ' || heading_path end
-  || printf('  (source %s, cos %.2f, captured %s)', case when coalesce(source_type, '') = '' then 'notes' else source_type end, cosine, case when coalesce(captured, '') = '' then 'unknown' else captured end)"""
+  || printf('  (source %s, cos %.2f, %s)', case when coalesce(source_type, '') = '' then 'notes' else source_type end, cosine, case when coalesce(captured, '') = '' then 'captured: unknown' else 'captured ' || captured end)"""
 _FRAME = f"case when source_type = 'memory' then '{render.FACTS_FRAMING}' else '{render.NOTES_FRAMING}' end"
 _FRAMED = f"""(select log_id, row_number() over (partition by log_id order by f, ord) line_no, framing, line, f, ord from
   (select *, min(ord) over (partition by log_id, framing) f from (select log_id, ord, {_FRAME} framing, {_LINE} line from {_H})))"""
@@ -302,6 +301,7 @@ SQL = {
     "l2_normalize": f"""select vec_id, round(n, 6) norm, round(v[1] / greatest(n, 1e-12), 6) "first", round(list_sum(list_transform(v, lambda x: x / greatest(n, 1e-12))), 6) total
       from (select vec_id, list_transform(embedding, lambda x: x::double) v, sqrt({_COS.format('embedding', 'embedding')}) n from embeddings)""",
     "cosine_topk": _HIT_COLS.format(_RANK.format(_PAIR_SCORES, K)),
+    "ann_candidates": _HIT_COLS.format(_RANK.format(_PAIR_SCORES, K)),
     "knn_expression": _HIT_COLS.format(_RANK.format(_PAIR_SCORES, K)),
     "knn_prefilter": _HIT_COLS.format(_RANK.format(_LABELLED, K)),
     "bm25_topk": _HIT_COLS.format(_RANK.format("select * from " + _BM25.replace("@where@", ""), K)),
@@ -332,7 +332,7 @@ SQL = {
     "framing_groups": f"select log_id, line_no::int line_no, framing, line from {_FRAMED}",
     "pointer_blocks": f"""with g as (select log_id, framing, min(line_no) k, string_agg(line, chr(10) order by line_no) t from {_FRAMED} group by 1, 2)
       select log_id, md5(b) digest, length(b)::int chars from (select log_id, string_agg(framing || chr(10) || t, chr(10) order by k) b from g group by 1)""",
-    "hit_markdown": """select id, md5('## ' || source_type || ':' || rel_path || case when coalesce(heading_path, '') = '' then '' else ' > ' || heading_path end || chr(10) || chr(10)
+    "hit_markdown": """select id, md5('## ' || source_type || ':' || rel_path || ' > ' || coalesce(heading_path, '') || chr(10)
       || printf('cosine %.3f | captured %s', length(text) / 7919.0::double, case when coalesce(captured, '') = '' then 'unknown' else captured end) || chr(10) || chr(10) || text) digest
       from (select distinct id, source_type, rel_path, heading_path, captured, text from chunks)""",
     "snippets": "select distinct id, replace(left(text, 120), chr(10), ' ') snippet, right(text, 200) tail from chunks",

@@ -4,13 +4,18 @@ tool interface over lines, and the plain-text renderers. They hold no logic of t
 from __future__ import annotations
 
 import json
+import logging
+import os
+import socket
 import socketserver
 import sys
+import threading
+from collections.abc import Callable
 from typing import IO
 
 from quillmark import __version__
 from quillmark.api import Engine, clamp_k
-from quillmark.config import DEFAULT_K
+from quillmark.config import DEFAULT_K, SWEEP_SECONDS
 from quillmark.functions.text import is_blank
 from quillmark.plans.indexing import IndexStats
 
@@ -61,7 +66,7 @@ def dispatch(engine: Engine, request: dict) -> dict:
             case "status":
                 return {"status": "status", "roots": [r.asDict() for r in engine.status().collect()]}
             case "search":
-                rows = engine.search(request.get("query", ""), request.get("k", DEFAULT_K), request.get("filter")).collect()
+                rows = engine.search(request.get("query", ""), int(request.get("k", DEFAULT_K)), request.get("filter")).collect()
                 return {"status": "hits", "hits": [r.asDict() for r in rows]}
             case "recall":
                 found = engine.recall(request.get("prompt", ""))
@@ -85,14 +90,88 @@ def answer(engine: Engine, line: str) -> str:
     return json.dumps(dispatch(engine, request), default=str)
 
 
-def serve_socket(engine: Engine, path: str) -> socketserver.UnixStreamServer:
-    """A server on a Unix socket: one request and one response a connection. The caller runs serve_forever()."""
+#: Longest path of a Unix socket on any system in use.
+SOCKET_PATH_BYTES = 104
+_log = logging.getLogger("quillmark")
+
+
+def serve_socket(engine: Engine, path: str) -> socketserver.ThreadingUnixStreamServer:
+    """A server on a Unix socket: one request and one response a connection. The caller runs serve_forever(). A
+    socket left over from a killed server is removed."""
+    size = len(os.fsencode(path))
+    if size >= SOCKET_PATH_BYTES:
+        raise ValueError(f"socket path is {size} bytes, must be under {SOCKET_PATH_BYTES}: {path}")
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    if os.path.exists(path):
+        os.remove(path)
 
     class Handler(socketserver.StreamRequestHandler):
         def handle(self) -> None:
             self.wfile.write(answer(engine, self.rfile.readline().decode("utf-8", "replace")).encode() + b"\n")
 
-    return socketserver.UnixStreamServer(path, Handler)
+    server = socketserver.ThreadingUnixStreamServer(path, Handler)
+    server.daemon_threads = True
+    return server
+
+
+def request(path: str, message: dict, timeout: float = 30.0) -> dict:
+    """Asks a server on a socket (S12). Raises OSError where there is none or it takes longer than ``timeout``."""
+    with socket.socket(socket.AF_UNIX) as s:
+        s.settimeout(timeout)
+        s.connect(path)
+        s.sendall(json.dumps(message).encode() + b"\n")
+        with s.makefile("rb") as f:
+            line = f.readline()
+    if not line:
+        raise ConnectionError("the server closed the connection without an answer")
+    return json.loads(line)
+
+
+class Daemon:
+    """Socket, watcher and sweeps together (M5 to M7): answers at once, catches up in the background, then sweeps
+    every ``seconds`` as a backstop for lost changes. Where roots cannot be watched, sweeps alone keep it current."""
+
+    def __init__(self, engine: Engine, path: str, checkpoint: str, seconds: float = SWEEP_SECONDS, start_watch: Callable | None = None):
+        from quillmark.streaming.watch import watch
+
+        self.engine, self.checkpoint, self.seconds = engine, checkpoint, seconds
+        self._start_watch = start_watch or watch
+        self._stop = threading.Event()
+        self.sweeps: list[str] = []
+        self.stream = None
+        self.server = serve_socket(engine, path)
+        self._threads = [threading.Thread(target=run, daemon=True) for run in (self.server.serve_forever, self._sweeping)]
+
+    def start(self) -> Daemon:
+        for t in self._threads:
+            t.start()
+        try:
+            self.stream = self._start_watch(self.engine, self.checkpoint)
+        except Exception as e:  # noqa: BLE001  sweeps go on without a watcher
+            _log.warning("roots cannot be watched, sweeps only: %s", e)
+        return self
+
+    def _sweeping(self) -> None:
+        reason = "startup"
+        while True:
+            try:
+                self.engine.index()
+                self.sweeps.append(reason)
+            except Exception as e:  # noqa: BLE001  the next sweep tries again
+                _log.warning("%s sweep failed: %s", reason, e)
+            reason = "periodic"
+            if self._stop.wait(self.seconds):
+                return
+
+    def stop(self) -> None:
+        self._stop.set()
+        self.server.shutdown()
+        self.server.server_close()
+        if os.path.exists(self.server.server_address):
+            os.remove(self.server.server_address)
+        if self.stream is not None:
+            self.stream.stop()
+        self._threads[1].join(timeout=60)
 
 
 def _tool(engine: Engine, name: str, arguments: dict) -> dict:

@@ -2,17 +2,19 @@
 
 ``spark.read.format("quillmark_notes").option("roots", "label=dir:label=dir")`` lists files itself, as Spark's
 file sources hide names that start with ``_`` or ``.``. One partition reads one slice of the sorted listing.
-``spark.readStream.format("quillmark_watch")`` reports files created, changed and removed since the last
-offset by comparing listings, so deletions are seen.
+``spark.readStream.format("quillmark_watch").option("state", folder)`` reports files created, changed and removed
+since the last offset by comparing listings, so deletions are seen.
 """
 
 from __future__ import annotations
 
+import glob
+import hashlib
 import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quillmark.config import EXCLUDED_NAMES, NOTE_EXTENSION, Root, parse_roots
 
@@ -86,39 +88,85 @@ class WatchSource(DataSource):
     def schema(self) -> str:
         return "path string, change string"
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _WatchReader(parse_roots(self.options.get("roots")), self.options.get("initial", "all") == "all")
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _WatchReader(parse_roots(self.options.get("roots")), self.options.get("state"), self.options.get("initial", "all") == "all")
 
 
-class _WatchReader(SimpleDataSourceStreamReader):
-    """The offset is the listing itself: modification time and size by path, held as JSON."""
+class _Change(InputPartition):
+    def __init__(self, before: str, after: str):
+        self.before, self.after = before, after
 
-    def __init__(self, roots: list[Root], replay: bool):
-        self.roots, self.replay = roots, replay
 
-    def _listing(self) -> dict[str, list[int]]:
-        seen = {}
-        for root in self.roots:
-            for path in note_paths(root):
-                try:
-                    s = os.stat(path)
-                except OSError:
-                    continue  # gone since it was listed
-                seen[path] = [s.st_mtime_ns, s.st_size]
-        return seen
+class _WatchReader(DataSourceStreamReader):
+    """The offset is a version by root. A version is a listing (path, modification time, size), a file in the state
+    folder, which the tasks that compare two of them must be able to read, as they are the notes themselves.
+    Version 0 is the empty listing. One partition compares one root."""
 
-    def initialOffset(self) -> dict:
-        return {"listing": json.dumps({} if self.replay else self._listing(), sort_keys=True)}
+    def __init__(self, roots: list[Root], state: str | None, replay: bool):
+        if not state:
+            raise ValueError("the option state must name a folder for listings")
+        self.roots, self.state, self.replay = roots, state, replay
+
+    def _stem(self, label: str) -> str:
+        return f"{self.state}/{hashlib.sha256(label.encode()).hexdigest()[:16]}"
+
+    def _file(self, label: str, version: int) -> str:
+        return f"{self._stem(label)}.{version}"
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = self._listing()
-        return iter(changes_between(json.loads(start["listing"]), now)), {"listing": json.dumps(now, sort_keys=True)}
+    def _last(self, label: str) -> int:
+        held = glob.glob(f"{glob.escape(self._stem(label))}.*")
+        return max((int(v) for f in held if (v := f.rpartition(".")[2]).isdigit()), default=0)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(changes_between(json.loads(start["listing"]), json.loads(end["listing"])))
+    def initialOffset(self) -> dict:
+        return dict.fromkeys((r.label for r in self.roots), 0) if self.replay else self.latestOffset()
+
+    def latestOffset(self) -> dict:
+        os.makedirs(self.state, exist_ok=True)
+        offset = {}
+        for root in self.roots:
+            version, now = self._last(root.label), _listing(root)
+            if now != (_stored(self._file(root.label, version)) if version else b""):
+                version += 1
+                draft = f"{self._file(root.label, version)}-{os.getpid()}"
+                with open(draft, "wb") as f:
+                    f.write(now)
+                os.replace(draft, self._file(root.label, version))
+            offset[root.label] = version
+        return offset
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        changed = [label for label in end if start.get(label, 0) != end[label]]
+        return [_Change(*(self._file(x, v) if v else "" for v in (start.get(x, 0), end[x]))) for x in changed] or [_Change("", "")]
+
+    def read(self, partition: _Change) -> Iterator[tuple]:
+        before, after = ({k: v for k, *v in map(json.loads, _stored(f).splitlines())} for f in (partition.before, partition.after))
+        yield from changes_between(before, after)
 
     def commit(self, end: dict) -> None:
-        pass
+        for label, version in end.items():
+            for old in glob.glob(f"{glob.escape(self._stem(label))}.*"):
+                v = old.rpartition(".")[2]
+                if v.isdigit() and int(v) < version:
+                    os.remove(old)
+
+
+def _listing(root: Root) -> bytes:
+    """One JSON line a note, in path order."""
+    lines = []
+    for path in note_paths(root):
+        try:
+            s = os.stat(path)
+        except OSError:
+            continue  # gone since it was listed
+        lines.append(json.dumps([path, s.st_mtime_ns, s.st_size]))
+    return "\n".join(lines).encode()
+
+
+def _stored(file: str) -> bytes:
+    if not file:
+        return b""
+    with open(file, "rb") as f:
+        return f.read()
 
 
 def changes_between(before: dict, after: dict) -> list[tuple[str, str]]:

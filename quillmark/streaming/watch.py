@@ -13,30 +13,21 @@ from pyspark.sql.streaming import StreamingQuery
 from quillmark.api import Engine
 from quillmark.config import DEBOUNCE_SECONDS
 from quillmark.operators.changes import watchable
+from quillmark.plans.indexing import IndexStats
 
-#: Paths handed to one indexing step; a larger micro-batch takes several.
-PATHS_PER_STEP = 1000
-
-
-def index_batch(engine: Engine, batch: DataFrame) -> None:
-    """Indexes the distinct watchable paths of a micro-batch, some at a time."""
-    paths = watchable(batch.select("path")).distinct().orderBy("path")
-    step: list[str] = []
-    for row in paths.toLocalIterator():
-        step.append(row.path)
-        if len(step) == PATHS_PER_STEP:
-            engine.index_paths(step)
-            step = []
-    if step:
-        engine.index_paths(step)
+def index_batch(engine: Engine, batch: DataFrame) -> IndexStats:
+    """Indexes the distinct watchable paths of a micro-batch in one commit."""
+    paths = watchable(batch.select("path")).distinct()
+    return engine.index_frame(paths) if not paths.isEmpty() else IndexStats()
 
 
 def watch(engine: Engine, checkpoint: str, once: bool = False, replay: bool = False) -> StreamingQuery:
     """Starts watching the engine's roots; ``once`` handles what is there and stops. The trigger's interval
-    stands for the debounce: all changes of a path within it are one."""
+    stands for the debounce: all changes of a path within it are one. Listings are kept beside the checkpoint."""
     stream = (
         engine.spark.readStream.format("quillmark_watch")
         .option("roots", ":".join(f"{r.label}={r.dir}" for r in engine.roots))
+        .option("state", f"{checkpoint}/listings")
         .option("initial", "all" if replay else "none")
         .load()
     )

@@ -49,7 +49,7 @@ def test_index_is_incremental_and_keeps_roots_apart(engine, tmp_path):
     assert sorted(r.source_id for r in rows) == ["memory:cache.md", "notes:cache.md"]
     assert engine.store.read("postings").select("id").distinct().count() == 2
     assert {r["label"]: r["rows"] for r in engine.status().collect()} == {"memory": 1, "notes": 1}
-    assert engine.store.vacuum() > 0 and engine.store.read("chunks").count() == 2
+    assert engine.store.vacuum() == 0 and engine.store.read("chunks").count() == 2  # every segment has live rows
     assert engine.purge_root("memory").removed == 1
     assert [r.source_id for r in engine.store.read("chunks").collect()] == ["notes:cache.md"]
 
@@ -84,7 +84,7 @@ def test_search_recall_and_hook(engine):
 
 def test_a_broken_root_is_an_error_and_not_zero(engine, tmp_path):
     engine.index()
-    part = tmp_path / "warehouse" / engine.store.versions()["chunks"] / "source_type=notes"
+    part = tmp_path / "warehouse" / engine.store.state()["tables"]["chunks"][0]["dir"] / "source_type=notes"
     for f in part.iterdir():
         f.write_bytes(b"not parquet")
     state = {r["label"]: (r["rows"], r["error"]) for r in engine.status().collect()}
@@ -95,6 +95,7 @@ def test_paths_and_stream(engine, tmp_path):
     notes = tmp_path / "notes"
     stats = engine.index_paths([str(notes / "cache.md"), str(notes / "nowhere.md"), str(notes / ".obsidian/skip.md"), "/elsewhere/x.md"])
     assert (stats.changed, stats.removed) == (1, 1)  # a path that never was counts as removed
+    assert engine.index_paths([]).changed == 0
     checkpoint = str(tmp_path / "checkpoint")
     q = watch(engine, checkpoint, once=True, replay=True)
     q.awaitTermination(120)
@@ -107,11 +108,127 @@ def test_paths_and_stream(engine, tmp_path):
     assert {r.source_id for r in engine.store.read("manifest").collect()} == {"notes:new.md", "notes:sub/_draft.md", "notes:empty.md", "memory:cache.md"}
 
 
-def test_pointer_names_both_tables(engine):
+def test_one_commit_a_sweep(engine):
     engine.index()
-    at = engine.store.versions()
-    assert set(at) == {"chunks", "manifest", "postings", "corpus"} and len({v.split("=")[1] for v in at.values()}) == 1
-    assert json.dumps(at)
+    state = engine.store.state()
+    assert state["seq"] == 1 and set(state["tables"]) == {"chunks", "manifest", "postings", "entities"} and not state["dead"]
+    assert all(p["seq"] == 1 for parts in state["tables"].values() for p in parts) and json.dumps(state)
+    assert [r.source_id for r in engine.mentions("Rate Limiting").collect()] == ["notes:cache.md"]
+
+
+def test_what_a_commit_writes_follows_from_what_changed(spark, tmp_path):
+    """The bytes a one-file change writes are the same for a small and a large warehouse."""
+
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+    written, files = [], 0
+    for n in (5, 400):
+        notes, house = tmp_path / f"notes{n}", tmp_path / f"house{n}"
+        for i in range(n):
+            put(notes, f"n{i:03d}.md", f"# Note {i}\n\n" + f"Words number {i} and more words about topic {i % 7}. " * 30)
+        engine = Engine(spark, [Root("notes", str(notes))], str(house))
+        assert engine.index().changed == n
+        before = size(house)
+        put(notes, "n003.md", "# Note\n\n" + "Quite other words stand here now. " * 30)
+        assert engine.index_paths([str(notes / "n003.md")]).changed == 1
+        written.append(size(house) - before)
+        assert engine.store.rows("manifest") == n + 1 and engine.store.read("manifest").count() == n
+        assert engine.store.facts()["docs"] == engine.store.read("chunks").count()
+        assert "other words" in engine.search("quite other words stand here", 1).first().text
+    assert written[1] < 1.1 * written[0]
+
+
+def test_segments_are_merged_and_dead_rows_leave(engine, tmp_path):
+    engine.index()
+    notes = tmp_path / "notes"
+    for i in range(9):
+        put(notes, "cache.md", f"# Cache\n\nIt expires after {i} minutes.\n")
+        engine.index_paths([str(notes / "cache.md")])
+    state = engine.store.state()
+    assert all(len(parts) <= 8 for parts in state["tables"].values()) and len(state["dead"]) <= 9
+    assert sorted((r.source_id, r.text.split("\n")[-1]) for r in engine.store.read("chunks").where("source_id = 'notes:cache.md'").collect()) == [("notes:cache.md", "It expires after 8 minutes.")]
+    docs, words = engine.store.facts()["docs"], engine.store.facts()["words"]
+    live = engine.store.read("chunks").selectExpr("count(*) n", "sum(len) w").first()
+    assert (docs, words) == (live.n, live.w) and engine.store.read("manifest").count() == 4
+    assert engine.store.read("postings").select("id").distinct().count() == docs
+    assert engine.store.vacuum() > 0 and engine.store.read("chunks").count() == docs
+
+
+def test_more_hits_than_the_tool_gives(spark, tmp_path):
+    for i in range(15):
+        put(tmp_path / "kb", f"f{i}.md", f"The cache number {i} expires.\n")
+    engine = Engine(spark, [Root("notes", str(tmp_path / "kb"))], str(tmp_path / "w"))
+    engine.index()
+    assert engine.search("cache", 15).count() == 15 and engine.search("cache", 0).count() == 0
+    from quillmark import serving
+
+    text = serving._tool(engine, "notes_search", {"query": "cache", "k": 15})["content"][0]["text"]
+    assert text.count("## notes:") == 10
+    assert engine.search("cache", 3, "text <> 'array_has(' and array_has(array('a'), 'a')").count() == 3
+
+
+def test_a_linked_path_is_the_file_it_leads_to(engine, tmp_path):
+    engine.index()
+    os.symlink(tmp_path / "notes", tmp_path / "link")
+    put(tmp_path / "notes", "cache.md", "# Cache\n\nChanged through a link.\n")
+    engine.index_paths([str(tmp_path / "link/cache.md"), str(tmp_path / "notes/cache.md")])
+    assert sorted(r.source_id for r in engine.store.read("manifest").collect()) == ["memory:cache.md", "notes:cache.md", "notes:empty.md", "notes:sub/_draft.md"]
+
+
+def test_cells_take_new_rows_and_are_fitted_anew_when_rows_double(spark, tmp_path):
+    kb = tmp_path / "kb"
+    for i in range(6):
+        put(kb, f"f{i}.md", f"word{i} stands alone here {i}\n")
+    engine = Engine(spark, [Root("notes", str(kb))], str(tmp_path / "w"), ann_threshold=4)
+    engine.index()
+    assert engine.store.facts()["fitted_rows"] == 6
+    put(kb, "g.md", "zebra crossing\n")
+    engine.index_paths([str(kb / "g.md")])
+    assert engine.store.facts()["fitted_rows"] == 6 and len(engine.store.state()["tables"]["cells"]) == 2
+    assert engine.search("zebra crossing", 1).first().rel_path == "g.md"
+    os.remove(kb / "g.md")
+    for i in range(7):
+        put(kb, f"h{i}.md", f"other{i} text {i}\n")
+    engine.index()
+    assert engine.store.facts()["fitted_rows"] == 13 and engine.search("zebra crossing", 1).where("text like '%zebra%'").count() == 0
+
+
+def test_daemon(spark, engine, tmp_path):
+    import time
+
+    from quillmark import serving
+
+    path = str(tmp_path / "d.sock")
+    put(tmp_path, "d.sock", "left over from a killed server")
+    daemon = serving.Daemon(engine, path, str(tmp_path / "watch"), seconds=1).start()
+    try:
+        assert serving.request(path, {"op": "ping"})["status"] == "pong"
+        end = time.monotonic() + 180
+        while len(daemon.sweeps) < 2 and time.monotonic() < end:
+            time.sleep(0.2)
+        assert daemon.sweeps[:2] == ["startup", "periodic"] and daemon.stream is not None
+        hits = serving.request(path, {"op": "search", "query": "routers forward packets", "k": 1}, timeout=120)["hits"]
+        assert [h["rel_path"] for h in hits] == ["sub/_draft.md"]
+        put(tmp_path / "notes", "new.md", "Zebras cross the road.\n")
+        while not engine.store.read("manifest").where("source_id = 'notes:new.md'").count() and time.monotonic() < end:
+            time.sleep(0.2)
+        assert serving.request(path, {"op": "search", "query": "zebras cross", "k": 1}, timeout=120)["hits"][0]["rel_path"] == "new.md"
+    finally:
+        daemon.stop()
+    with pytest.raises(OSError):
+        serving.request(path, {"op": "ping"}, timeout=1)
+
+    def broken(*_):
+        raise OSError("no watcher here")
+
+    alone = serving.Daemon(engine, path, str(tmp_path / "watch2"), seconds=600, start_watch=broken).start()
+    try:
+        assert alone.stream is None and serving.request(path, {"op": "ping"})["status"] == "pong"
+    finally:
+        alone.stop()
+    with pytest.raises(ValueError, match="under 104"):
+        serving.serve_socket(engine, "/" + "x" * 120)
 
 
 @pytest.mark.parametrize(("asked", "k"), [(None, 3), ("7", 3), (-1, 3), (0, 1), (1, 1), (10, 10), (11, 10), (True, 3)])

@@ -121,9 +121,9 @@ def test_pointer_block(spark):
     assert render.pointer_block(df, ["q"], "place").first().block.split("\n") == [
         render.NOTES_FRAMING,
         "  /k/T.md > Some Heading  (source wiki, cos 0.42, captured 2026-08-01)",
-        "  /k/V.md  (source notes, cos 0.50, captured unknown)",
+        "  /k/V.md  (source notes, cos 0.50, captured: unknown)",
         render.FACTS_FRAMING,
-        "  U.md  (source memory, cos 0.90, captured unknown)",
+        "  U.md  (source memory, cos 0.90, captured: unknown)",
     ]
 
 
