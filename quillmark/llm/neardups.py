@@ -555,15 +555,18 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_bodies(spark, d), "id", "body").degrees()
 
 
-_PAIRS = f"""
-with bodies as (select distinct id, substr(text, instr(text, chr(10) || chr(10)) + 2) body from chunks where instr(text, chr(10) || chr(10)) > 0),
+_COUNTS = f"""bodies as (select distinct id, substr(text, instr(text, chr(10) || chr(10)) + 2) body from chunks where instr(text, chr(10) || chr(10)) > 0),
 lists as (select id, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') w from bodies),
 long as (select * from lists where len(w) >= {MIN_WORDS}),
 words as (select id, len(w) n, unnest(w) word from long),
 counts as (select id, n, word, count(*) k from words group by all),
 shared as (select a.id id_a, b.id id_b, a.n + b.n total, sum(least(a.k, b.k)) both_
-  from counts a join counts b on a.word = b.word and a.id < b.id and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) group by all)
-select id_a, id_b from shared where both_ >= 0.75 * (total - both_)
-"""
+  from counts a join counts b on a.word = b.word and a.id < b.id and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) group by all),
+pairs as (select id_a, id_b from shared where both_ >= 0.75 * (total - both_))"""
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
-SQL = {"p5_found": _PAIRS}
+SQL = {
+    "p5_found": f"with {_COUNTS} select id_a, id_b from pairs",
+    "p5_groups": f"""with {_COUNTS}, ends as (select id_a id from pairs union all select id_b from pairs), degrees as (select id, count(*) links from ends group by 1),
+      keyed as (select id, list_sort(w) key from long)
+      select id, min(id) over (partition by key) class_id, count(*) over (partition by key) copies, coalesce(links, 0)::bigint links from keyed left join degrees using (id)""",
+}

@@ -13,11 +13,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.columns import trimmed
 from quillmark.functions.text import note_sections
+from quillmark.plans import text_sql
 from quillmark.session import table
 
 MAX_CHARS = 2000
@@ -225,6 +226,32 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("piece_ix = 0").select("item_table", "source_id", "heading_path", "ix").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
-SQL: dict[str, str] = {}
-
+def p2_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every item's pieces: joined without their repeats they are the item, whose digest is given;
+    none is above the limit, and each starts with the end of the one before."""
+    items = items_over_limit(spark, d).withColumn("version", F.md5(F.col("body").cast("binary")))
+    key = ["item_table", "source_id", "heading_path", "ix", "version"]
+    pieces = split_oversized(items, "body").select(*key, "piece_ix", "piece", "repeated_chars")
+    before = F.lag("piece").over(Window.partitionBy(*key).orderBy("piece_ix"))
+    repeated = F.left("piece", F.col("repeated_chars"))
+    checked = pieces.withColumn("amiss", (F.col("piece_ix") > 0) & ((F.col("repeated_chars") < 1) | (F.right(before, F.col("repeated_chars")) != repeated)))
+    rest = F.struct("piece_ix", F.substring(F.col("piece"), F.col("repeated_chars") + 1, F.length("piece")).alias("t"))
+    joined = checked.groupBy(*key).agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(rest)), lambda x: x["t"]), "").cast("binary")).alias("digest"),
+        F.count_if(F.length("piece") > MAX_CHARS).alias("too_long"),
+        F.count_if("amiss").alias("bad_repeats"),
+    )
+    return joined.drop("version")
+
+
+#: Bodies over the limit, by the checking SQL of the text segmentation.
+_ITEMS = f"""{text_sql.with_sections()},
+  cut_bodies_ as (select 'chunks' item_table, source_id, coalesce(heading_path, '') heading_path, chunk_ix ix, substr(t, instr(t, chr(10) || chr(10)) + 2) body
+    from (select *, replace(text, chr(13) || chr(10), chr(10)) t from chunks) where instr(t, chr(10) || chr(10)) > 0
+    union all select 'notes', source_id, heading_path, ix, body from sections_),
+  items_ as (select distinct item_table, source_id, heading_path, ix, {text_sql.trim('body')} body from cut_bodies_ where length({text_sql.trim('body')}) > {MAX_CHARS})"""
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_whole": p2_whole}
+SQL = {
+    "p2_found": f"{_ITEMS} select distinct item_table, source_id, heading_path, ix from items_",
+    "p2_whole": f"{_ITEMS} select item_table, source_id, heading_path, ix, md5(body) digest, 0::bigint too_long, 0::bigint bad_repeats from items_",
+}
