@@ -12,6 +12,7 @@ import base64
 import bisect
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import BM25_B, BM25_K1, EMBED_MAX_TOKENS
-from quillmark.operators.skew import HOT_ROWS, join_unique
+from quillmark.llm.leaks import word_hashes
 from quillmark.session import cut, table
 
 CAPACITY = EMBED_MAX_TOKENS
@@ -30,7 +31,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts in a shard on average.
 SHARD_TEXTS = 4000
-#: Buckets of most telling terms, by whose counts shards are laid out: what comes to the driver.
+#: Words are known by a hash of so many values, whose counts are broadcast (16 MB), whatever the vocabulary.
+WORD_CODES = 1 << 22
+#: Buckets of most telling words, by whose counts shards are laid out: what comes to the driver.
 TERM_BUCKETS = 1 << 16
 
 
@@ -54,57 +57,94 @@ def _encoding(ranks_file: bytes):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, text_column: str, into: str, folder: str = TOKENIZERS, file: str = VOCABULARY) -> DataFrame:
-    """df with the number of tokens of a text column; null counts as the empty text, which has none. The
+def text_vectors(texts: DataFrame, folder: str = TOKENIZERS, file: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text_key, tokens, len, codes binary, tf binary) of texts (doc_id, text_key, text): the number of tokens,
+    and the word codes with their counts as 32-bit numbers. Null counts as the empty text, which has none. The
     vocabulary (about a megabyte) is read here and travels with the job, so the workers need no file."""
-    rest = [c for c in df.columns if c != into]
-    place = rest.index(text_column)
-    picked = df.select(*(F.col(f"`{c}`") for c in rest))
-    schema = picked.withColumn(into, F.lit(0)).schema
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary(folder, file))
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary(folder, file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(shared.value).encode_ordinary
         for batch in batches:
-            counts = [len(encode(t)) if t else 0 for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32())], names=[*rest, into])
-
-    return picked.mapInArrow(run, schema)
-
-
-def weighted_terms(texts: DataFrame, k1: float = BM25_K1, b: float = BM25_B, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc_id, text_key, terms array<struct<term:bigint,weight:float>>) of texts (doc_id, text_key, text) with BM25
-    weights from the counts of all texts; terms of one text alone find nothing and are left out. A word that
-    most texts have meets its count by broadcast."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    postings = (
-        texts.where("text is not null")
-        .select("doc_id", "text_key", words.alias("words"))
-        .select("doc_id", "text_key", F.size("words").alias("len"), F.explode("words").alias("word"))
-        .groupBy("doc_id", "text_key", "len", F.xxhash64("word").alias("term"))
-        .agg(F.count("*").alias("tf"))
-    )
-    postings = cut(postings)
-    total, average = texts.where("text is not null").agg(F.count("*"), F.avg(F.size(words))).first()
-    average = float(average or 0) or 1.0
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
-    idf = F.log(1 + (F.lit(float(total or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
-    return (
-        join_unique(postings, df, ["term"], "inner", hot_rows)
-        .select("doc_id", "text_key", F.struct("term", (idf * weight).cast("float").alias("weight")).alias("t"))
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_list("t").alias("terms"))
-    )
+            text = batch.column(2)
+            tokens = [len(encode(t)) if t else 0 for t in text.to_pylist()]
+            flat, offsets = word_hashes(text.cast(pa.string()))
+            row = np.repeat(np.arange(len(text)), np.diff(offsets))
+            key, tf = np.unique(row * WORD_CODES + (flat % np.uint64(WORD_CODES)).astype(np.int64), return_counts=True)
+            cuts = np.searchsorted(key, np.arange(1, len(text)) * WORD_CODES)
+            parts = [[x.astype(np.int32).tobytes() for x in np.split(values, cuts)] for values in (key % WORD_CODES, tf)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(tokens, pa.int32()), pa.array(np.diff(offsets).astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)],
+                names=["doc_id", "text_key", "tokens", "len", "codes", "tf"],
+            )
+
+    return texts.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, tokens int, len int, codes binary, tf binary")
+
+
+@dataclass
+class Corpus:
+    """What BM25 needs to know of all texts: their number, mean length, and how many have each word code."""
+
+    texts: int
+    average: float
+    df: np.ndarray
+
+    def weights(self, codes: np.ndarray, tf: np.ndarray, length: np.ndarray, k1: float = BM25_K1, b: float = BM25_B) -> np.ndarray:
+        """Weights of words; those of one text alone find nothing and have none."""
+        df = self.df[codes]
+        idf = np.log(1 + (self.texts - df + 0.5) / (df + 0.5))
+        return np.where(df > 1, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.average)), 0).astype(np.float32)
+
+
+def corpus_of(vectors: DataFrame) -> Corpus:
+    """Counts over all texts, by tasks and then by code: at most WORD_CODES rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(WORD_CODES, np.int64)
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32)
+            df += np.bincount(codes, minlength=WORD_CODES)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["code", "df"])
+
+    texts, average = vectors.agg(F.count("*"), F.avg("len")).first()
+    got = vectors.select("codes").mapInArrow(run, "code int, df bigint").groupBy("code").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(WORD_CODES, np.int64)
+    df[got.column("code").to_numpy()] = got.column("df").to_numpy()
+    return Corpus(texts, float(average or 0) or 1.0, df)
+
+
+def _vectors_of(codes: list[bytes], tf: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, counts, words of each text) of packed vectors."""
+    return np.frombuffer(b"".join(codes), np.int32), np.frombuffer(b"".join(tf), np.int32), np.array([len(c) // 4 for c in codes], np.int64)
+
+
+def with_telling(vectors: DataFrame, corpus) -> DataFrame:
+    """vectors with ``telling``, the bucket of each text's word of greatest weight, null where none has weight."""
+    schema = vectors.withColumn("telling", F.lit(None).cast("int")).schema
+    at = [vectors.columns.index(c) for c in ("codes", "tf", "len")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, tf, words = _vectors_of(*(batch.column(i).to_pylist() for i in at[:2]))
+            row = np.repeat(np.arange(len(words)), words)
+            weight = corpus.value.weights(codes, tf, batch.column(at[2]).to_numpy()[row])
+            order = np.lexsort((codes, -weight, row))
+            first = np.searchsorted(row[order], np.arange(len(words)))
+            some = np.flatnonzero(words)
+            best = order[first[some]]
+            telling = np.full(len(words), -1, np.int32)
+            telling[some] = np.where(weight[best] > 0, codes[best] % TERM_BUCKETS, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(telling, mask=telling < 0)], names=schema.names)
+
+    return vectors.mapInArrow(run, schema)
 
 
 def similar_shards(rows: DataFrame, shard_texts: int = SHARD_TEXTS) -> DataFrame:
-    """rows (doc_id, text_key, terms, ...) with ``shard``: about ``shard_texts`` rows each, texts with the same most
-    telling term together. Buckets of such terms are counted; small ones share a shard, and one with more texts
+    """rows (doc_id, text_key, telling, ...) with ``shard``: about ``shard_texts`` rows each, texts with the same most
+    telling word together. Buckets of such words are counted; small ones share a shard, and one with more texts
     than a shard holds, such as a group of copies, is spread over several by hash."""
-    telling = F.array_max(F.transform("terms", lambda t: F.struct(t["weight"].alias("w"), t["term"].alias("t"))))["t"]
-    bucket = F.pmod(F.xxhash64(F.coalesce(telling, F.lit(0))), F.lit(TERM_BUCKETS)).cast("int")
-    rows = rows.withColumn("_bucket", bucket)
+    rows = rows.withColumn("_bucket", F.coalesce("telling", F.lit(0)))
     counts = rows.groupBy("_bucket").agg(F.count("*").alias("n")).orderBy("_bucket").collect()  # at most TERM_BUCKETS
     layout, shard, held = [], 0, 0
     for r in counts:
@@ -197,7 +237,8 @@ def pack_texts(
     """
     texts = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
     texts = texts.distinct().withColumn("text_key", F.xxhash64("text"))
-    sized = cut(token_counts(texts, "text", "tokens", folder, file).select("doc_id", "text_key", "tokens"))
+    sized = cut(text_vectors(texts, folder, file))  # the texts themselves are read once
+    corpus = df.sparkSession.sparkContext.broadcast(corpus_of(sized))
     full = (
         sized.where(F.col("tokens") >= capacity)
         .select("doc_id", "text_key", "tokens", F.explode(F.sequence(F.lit(0), (F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
@@ -206,22 +247,19 @@ def pack_texts(
             (F.col("piece") * capacity).alias("token_from"), ((F.col("piece") + 1) * capacity).alias("token_to"),
         )
     )
-    rest = sized.where((F.col("tokens") == 0) | (F.col("tokens") % capacity > 0)).join(weighted_terms(texts).hint("merge"), ["doc_id", "text_key"], "left")
-    rest = similar_shards(cut(rest), shard_texts)
+    rest = sized.where((F.col("tokens") == 0) | (F.col("tokens") % capacity > 0))
+    rest = similar_shards(with_telling(rest, corpus), shard_texts).drop("telling")
     schema = "container string, slot int, doc_id bigint, text_key bigint, piece int, token_from int, token_to int"
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text_key", "ascending")]).combine_chunks()
         doc, texts, tokens = (group.column(c).to_numpy() for c in ("doc_id", "text_key", "tokens"))
-        listed = group.column("terms")
-        listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
-        length = np.asarray(listed.value_lengths().fill_null(0))
-        flat = listed.flatten()
-        term, weight = flat.field("term").to_numpy(zero_copy_only=False), flat.field("weight").to_numpy(zero_copy_only=False)
-        order = np.lexsort((term, np.repeat(np.arange(len(length)), length)))
-        cuts = np.cumsum(length)[:-1]
-        terms = np.split(term[order], cuts)
-        packed = pack_shard(tokens % capacity, ShardIndex(terms, np.split(weight[order], cuts)), terms, capacity)
+        codes, tf, words = _vectors_of(group.column("codes").to_pylist(), group.column("tf").to_pylist())
+        weight = corpus.value.weights(codes, tf, np.repeat(group.column("len").to_numpy(), words))
+        weighty = weight > 0
+        cuts = np.cumsum(np.bincount(np.repeat(np.arange(len(words)), words)[weighty], minlength=len(words)))[:-1]
+        terms = np.split(codes[weighty], cuts)
+        packed = pack_shard(tokens % capacity, ShardIndex(terms, np.split(weight[weighty], cuts)), terms, capacity)
         rows = [(f"s{key[0].as_py()}-{c}", slot, i) for c, held in enumerate(packed) for slot, i in enumerate(held)]
         at = np.array([i for _, _, i in rows], np.int64)
         piece = tokens[at] // capacity

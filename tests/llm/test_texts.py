@@ -185,18 +185,30 @@ def test_neighbours_come_in_order_of_score():
 
 
 def test_shards_keep_like_texts_together_and_split_copies(spark):
-    rows = spark.range(1000).select(
-        F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("text_key"),
-        F.array(F.struct(F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 30).cast("bigint").alias("term"), F.lit(1.0).cast("float").alias("weight"))).alias("terms"),
-    )
-    got = P6.similar_shards(rows, 50).select("doc_id", "shard", F.col("terms")[0]["term"].alias("t")).collect()
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("text_key"), F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 30).cast("int").alias("telling"))
     held = {}
-    for r in got:
-        held.setdefault(r.shard, []).append(r.t)
-    assert len(got) == 1000 and max(map(len, held.values())) < 90
+    for r in P6.similar_shards(rows, 50).collect():
+        held.setdefault(r.shard, []).append(r.telling)
+    assert sum(map(len, held.values())) == 1000 and max(map(len, held.values())) < 90
     assert all(len({s for s, ts in held.items() if t in ts}) == 1 for t in range(30) if t != 7)
 
 
+def test_weights_are_those_of_bm25(spark):
+    texts = ["the cache expires", "the the cache", "the router", "", None, "lonely"]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id bigint, text_key bigint, text string")
+    vectors = P6.text_vectors(df)
+    corpus = P6.corpus_of(vectors)
+    row = vectors.where("doc_id = 1").first()
+    codes, tf, words = P6._vectors_of([row.codes], [row.tf])
+    lengths = [len((t or "").split()) for t in texts]
+    mean = sum(lengths) / len(texts)
+    weight = lambda n, df: np.log(1 + (6 - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * 3 / mean))
+    assert sorted(corpus.weights(codes, tf, np.array([3] * len(codes))).tolist()) == pytest.approx(sorted([weight(2, 3), weight(1, 2)]), rel=1e-5)
+    assert corpus.texts == 6 and words.tolist() == [2] and row.len == 3 and row.tokens == 3
+    told = {r.doc_id: r.telling for r in P6.with_telling(vectors, spark.sparkContext.broadcast(corpus)).collect()}
+    assert None not in (told[0], told[1], told[2]) and told[3] is told[4] is told[5] is None
+
+
 # ---- leaks
 
 
