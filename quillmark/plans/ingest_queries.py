@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.config import Root
 from quillmark.functions.columns import chunk_id, content_hash, file_stem, is_excluded, is_indexable
 from quillmark.operators import changes, merge
 from quillmark.operators.segment import chunk_notes, frontmatter_fields, query_units, section_rows
 from quillmark.plans import text_sql
-from quillmark.session import table
+from quillmark.session import checkpoint_folder, table
 
 S = SparkSession
 
@@ -164,6 +170,49 @@ def q_paragraph_units(spark: S, d: str) -> DataFrame:
     return paragraph_units(section_rows(notes, "raw_text").select("source_id", "ix", "body"), "body").select("source_id", "ix", "unit_ix", F.length("unit").alias("chars"), F.md5(F.col("unit").cast("binary")).alias("digest"))
 
 
+def _tree(spark: S, d: str) -> list[Root]:
+    """The notes as files below the session's shared folder, one tree a collection, written by tasks; beside them
+    what no scan may report."""
+    base = f"{checkpoint_folder(spark).removeprefix('file:')}/tree-{uuid.uuid4().hex[:12]}"
+    others = [".git/kept.md", ".obsidian/app.md", "plain.txt", "UPPER.MD", ".trash/old.md"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column(0).to_pylist()
+            for label, rel, text in zip(labels, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for name, content in [(rel, text or "")] + [(o, "none of the notes") for o in others]:
+                    path = f"{base}/{label}/{name}"
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(path, "w", encoding="utf-8", newline="") as f:
+                        f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string())], names=["label"])
+
+    written = _files(spark, d).select("source_type", "rel_path", "raw_text").mapInArrow(write, "label string")
+    return [Root(r.label, f"{base}/{r.label}") for r in written.distinct().orderBy("label").collect()]
+
+
+def q_md_scan(spark: S, d: str) -> DataFrame:
+    """A scan of a tree of notes (S1): every note's bytes, and nothing else that lies there."""
+    from quillmark.sources import markdown
+
+    markdown.register(spark)
+    roots = ":".join(f"{r.label}={r.dir}" for r in _tree(spark, d))
+    return spark.read.format("quillmark_notes").option("roots", roots).load().select("label", "rel_path", F.md5("content").alias("digest"))
+
+
+def q_watch_stream_ingest(spark: S, d: str) -> DataFrame:
+    """The chunks a watching engine has stored once all files of a tree were reported to it."""
+    from quillmark.api import Engine
+    from quillmark.streaming.watch import watch
+
+    roots = _tree(spark, d)
+    folder = f"{os.path.dirname(roots[0].dir)}-state" if roots else checkpoint_folder(spark)
+    engine = Engine(spark, roots, f"{folder}/warehouse")
+    if roots:
+        watch(engine, f"{folder}/watch", once=True, replay=True).awaitTermination()
+    return engine.store.read("chunks").select("id", "source_id", "chunk_ix", "heading_path", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def q_hard_split(spark: S, d: str) -> DataFrame:
     """Slices of 2000 characters of every document."""
     docs = table(spark, d, "documents").where(F.length("text") > 0)
@@ -236,13 +285,15 @@ _ROUTED = """(with r as (select label, dir, ord from roots union all select 'all
 
 _CHUNKED = text_sql.chunks_of("notes_ as (select distinct source_id, md5(raw_text) version, title, raw_text from notes where raw_text is not null)")
 _CHUNKED_FILES = text_sql.chunks_of(f"notes_ as (select source_id, md5(raw_text) version, title, raw_text from ({_LATEST}) where raw_text is not null)")
+_CHUNKED_STEMS = text_sql.chunks_of(f"""notes_ as (select source_type || ':' || rel_path source_id, md5(raw_text) version, raw_text,
+  regexp_replace(split_part(rel_path, '/', -1), '(.)\\.[^.]*$', '\\1') title from ({_LATEST}) where raw_text is not null)""")
 
 QUERIES = {
     name: globals()[f"q_{name}"]
     for name in (
         "content_hash source_chunk_ids indexable_paths change_detection orphan_prune sweep_targets merge_chunks_scoped merge_delete_only merge_manifest "
         "manifest_delete manifest_counts root_row_counts user_filter label_membership frontmatter_fields note_frontmatter wikilinks fence_parity "
-        "heading_sections paragraph_units split_body_chunks hard_split split_query_cap path_to_root root_batches debounce_batches index_stats_rollup full_vs_incremental"
+        "md_scan watch_stream_ingest heading_sections paragraph_units split_body_chunks hard_split split_query_cap path_to_root root_batches debounce_batches index_stats_rollup full_vs_incremental"
     ).split()
 }
 SQL = {
@@ -287,6 +338,8 @@ SQL = {
     "index_stats_rollup": """with m as (select source_type label, count(*) s, count(distinct source_id) c, sum((n_chunks = 0)::int) r, sum(n_chunks) w from manifest group by 1)
       select sum(s)::bigint scanned, sum(c)::bigint changed, sum(r)::bigint removed, sum(w)::bigint chunks_written,
       string_agg(label || ': rows ' || w::bigint || '; ' || label || ': text', '; ' order by label) indexes from m""",
+    "md_scan": f"select source_type as label, rel_path, md5(coalesce(raw_text, '')) digest from {_FILES}",
+    "watch_stream_ingest": f"""{_CHUNKED_STEMS} select substr(sha256(source_id || ':' || chunk_ix), 1, 16) id, source_id, chunk_ix, heading_path, md5(text) digest from chunked_""",
     "note_frontmatter": text_sql.FRONTMATTER,
     "heading_sections": f"{text_sql.with_sections()} select source_id, ix, heading_path, length(body)::int chars, md5(body) digest from sections_",
     "paragraph_units": f"""{text_sql.with_sections()}, cut_ as (select (source_id, version, ix) k, body from sections_), {text_sql.pieces('cut_')}

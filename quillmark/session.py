@@ -26,15 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session without one (tests, a laptop) gets a temporary
+    folder, as a machine's own folder is of no use to a cluster."""
+    sc = spark.sparkContext
+    if (held := sc.getCheckpointDir()) is not None:
+        return held
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmark-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, written to the shared checkpoint folder, so that a lost executor
-    costs no more than the tasks it ran. The folder is the session's ``spark.checkpoint.dir``; only a local
-    session without one (tests, a laptop) gets a temporary folder, as a machine's own folder is of no use to
-    a cluster."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmark-"))
+    costs no more than the tasks it ran."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
