@@ -21,7 +21,7 @@ from quillmark.session import cut, table
 # Letters of other scripts, each followed by the Latin letter of the same look.
 CYRILLIC = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԌG ԚQ ԜW аa еe ѕs іi јj оo "
-    "рp сc уy хx һh ԁd ԛq ԝw ѵv ӏl ЁË ЇÏ ёë їï ӒÄ ӓä ӦÖ ӧö ӐĂ ӑă ӖĔ ӗĕ"
+    "УY рp сc уy хx һh ԁd ԛq ԝw ѵv ӏl ЁË ЇÏ ёë їï ӒÄ ӓä ӦÖ ӧö ӐĂ ӑă ӖĔ ӗĕ"
 )
 GREEK = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ρp ϲc ϳj ͿJ ϹC ΌÓ όó ΆÁ "
