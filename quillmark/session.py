@@ -44,3 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     costs no more than the tasks it ran."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan, on which dear work follows, over as many partitions as there are cores: few small files are dealt
+    out, while tables of many files stay as they are and are not shuffled. So does what is no mere scan."""
+    plan = scan._jdf.queryExecution()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

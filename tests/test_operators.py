@@ -294,3 +294,13 @@ def test_bloom_filter_has_no_false_negatives_and_a_bound(spark):
     strangers = spark.range(2000, 12000).select(F.col("id").cast("string").alias("key"))
     assert might_exist(strangers, "key", bloom, blocks, "m").where("m").count() < 500
     assert bloom_blocks(10**12) == 1 << 20 and bloom.count() <= blocks
+
+
+def test_only_small_scans_are_dealt_out(spark, small):
+    from quillmark.session import spread, table
+
+    docs = table(spark, small, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(docs).rdd.getNumPartitions() >= cores and spread(docs).count() == docs.count()
+    many = docs.repartition(3 * cores)
+    assert spread(many)._jdf.equals(many._jdf) and spread(docs.groupBy("lang").count()).count() > 0
