@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.lookalikes import _second, canonical_array, connection
 from quillmark.operators.skew import HOT_ROWS, hot_keys
-from quillmark.session import cut, table
+from quillmark.session import cut, spread, table
 
 _WORD = re.compile(r"[^\W_]+")
 #: Bits of the bitmap for each piece, and of the whole at most: 32 MB, whatever the number of items. A fuller
@@ -260,6 +260,7 @@ def find_leaks(
     leader = cut(named.groupBy("t").agg(F.min("i").alias("leader")))
     pieces = cut(item_pieces(leader.select("leader", "t"), run_words, max_edits).distinct())
     texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).alias("t")).where("d is not null and t is not null")
+    texts = spread(texts)
     bitmap = spark.sparkContext.broadcast(piece_bitmap(pieces))
     hits = cut(document_hits(texts, bitmap, run_words, max_edits))
     hot = hot_keys(hits, ["gram"], hot_rows)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators.skew import expand_pairs
-from quillmark.session import cut, table
+from quillmark.session import cut, spread, table
 
 # Letters of other scripts, each followed by the Latin letter of the same look.
 CYRILLIC = (
@@ -185,7 +185,7 @@ def lookalike_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFram
     not paired. Null ids and texts take no part; a repeated row counts once; an empty text never equals one
     with visible characters.
     """
-    both = canonical_text(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null"), "text", "form")
+    both = canonical_text(spread(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")), "text", "form")
     hashed = both.select(  # some 40 bytes a row, kept, so that the texts pass through DuckDB once
         "id",
         F.xxhash64("form").alias("f1"),

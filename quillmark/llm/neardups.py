@@ -13,7 +13,6 @@ hashes: two words of a pair of texts of n words are taken for one with a chance
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from quillmark.llm.splitting import chunk_body
 from quillmark.operators.orphans import bloom_blocks, bloom_filter, might_exist
 from quillmark.operators.skew import HOT_ROWS, expand_pairs, join_unique
-from quillmark.session import cut, table
+from quillmark.session import cut, spread, table
 
 MIN_WORDS = 40
 THRESHOLD = 0.75
@@ -41,7 +40,7 @@ GROUPS = 4
 BAND_STEPS = 2
 #: What one task of an instance may read, and the cost it may have by the plan's estimate: an instance gets as
 #: many groups of segments as that takes, and where each segment has a task of its own, parts by signature.
-TASK_BYTES, TASK_COST = 96 << 20, 4e7
+TASK_BYTES, TASK_COST, MAX_TASKS = 96 << 20, 4e7, 20_000
 #: Relative costs of handling one signature and one candidate pair.
 SIGNATURE_COST, PAIR_COST = 1.0, 0.4
 PAIRS_AT_ONCE = 1 << 18
@@ -197,17 +196,19 @@ def plan_instance(band: int, own: int, high: int, threshold: float, counts: np.n
         p = np.minimum(counts / max(texts, 1), 1.0)
         equal = p * p + (1 - p) * (1 - p)
         info = -np.log(equal)
-        order = np.argsort(-info, kind="stable")
+        telling = np.argsort(-info, kind="stable")[: int((info > 0).sum())]
         choices = sorted({least, least + least // 4, least + least // 2, need})
         plans = []
         for m in choices:
-            # most telling codes first, each to the segment that tells least so far
-            heap = [(0.0, s) for s in range(m)]
-            of = np.empty(codes, np.int32)
-            for c in order:
-                told, s = heapq.heappop(heap)
-                of[c] = s
-                heapq.heappush(heap, (told + float(info[c]) + 1e-9, s))
+            # most telling codes first, in rounds of one a segment, the most telling to the one that tells least so
+            # far; codes that tell nothing are dealt out
+            of = np.arange(codes, dtype=np.int32) % m
+            told = np.zeros(m)
+            for a in range(0, len(telling), m):
+                some = telling[a : a + m]
+                to = np.argsort(told, kind="stable")[: len(some)]
+                of[some] = to
+                told[to] += info[some]
             total = np.bincount(of, info, m)
             one_off = np.bincount(of, 2 * p * (1 - p) / equal, m)
             length = np.bincount(of, p, m)
@@ -484,7 +485,9 @@ def similar_classes(sets: DataFrame, min_words: int = MIN_WORDS, threshold: floa
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sims, pa.float64())], names=["a1", "a2", "b1", "b2", "similarity"])
 
     blocks = sets.select("n", "h1", "h2", "words").mapInArrow(index, "band int, grp int, part int, block binary")
-    pairs = cut(blocks.groupBy("band", "grp", "part").applyInArrow(candidates, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct())
+    # a task a group of segments or two, as candidates are dear for their bytes
+    tasks = min(2 * sum(p.groups * p.parts for p in plans), MAX_TASKS)
+    pairs = cut(blocks.repartition(tasks, "band", "grp", "part").groupBy("band", "grp", "part").applyInArrow(candidates, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct())
     names = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(pairs.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
     # only texts with a candidate are moved again: a Bloom filter of bounded size finds them where they lie
     bits = bloom_blocks(2 * pairs.count())
@@ -537,7 +540,7 @@ def near_duplicates(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    sets = cut(word_sets(df, id_column, text_column, min_words))
+    sets = cut(word_sets(spread(df.select(id_column, text_column)), id_column, text_column, min_words))
     links = similar_classes(sets, min_words, threshold, task_bytes, task_cost, hot_rows)
     return NearDuplicates(sets.select("id", "h1", "h2").distinct(), cut(links), hot_rows)
 

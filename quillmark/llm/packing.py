@@ -35,6 +35,8 @@ SHARD_TEXTS = 4000
 WORD_CODES = 1 << 22
 #: Buckets of most telling words, by whose counts shards are laid out: what comes to the driver.
 TERM_BUCKETS = 1 << 16
+#: Tasks the shards go to at most.
+MAX_TASKS = 20_000
 
 
 @cache
@@ -236,7 +238,9 @@ def pack_texts(
     scores are those of all texts. An empty table gives no rows.
     """
     texts = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    texts = texts.distinct().withColumn("text_key", F.xxhash64("text"))
+    # tokens are dear for the bytes of a text, so that the shuffle's partitions are not merged by size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(tasks, "doc_id", "text").distinct().withColumn("text_key", F.xxhash64("text"))
     sized = cut(text_vectors(texts, folder, file))  # the texts themselves are read once
     corpus = df.sparkSession.sparkContext.broadcast(corpus_of(sized))
     full = (
@@ -248,6 +252,7 @@ def pack_texts(
         )
     )
     rest = sized.where((F.col("tokens") == 0) | (F.col("tokens") % capacity > 0))
+    shards = max(1, -(-corpus.value.texts // shard_texts))
     rest = similar_shards(with_telling(rest, corpus), shard_texts).drop("telling")
     schema = "container string, slot int, doc_id bigint, text_key bigint, piece int, token_from int, token_to int"
 
@@ -275,7 +280,8 @@ def pack_texts(
             }
         )
 
-    return full.unionByName(rest.groupBy("shard").applyInArrow(fill, schema))
+    # a task a shard or two: filling is dear for its bytes
+    return full.unionByName(rest.repartition(min(2 * shards, MAX_TASKS), "shard").groupBy("shard").applyInArrow(fill, schema))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:

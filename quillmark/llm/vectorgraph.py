@@ -29,8 +29,8 @@ CELL_ROWS, SHARD_ROWS = 4096, 24_576
 #: sample on the driver; with more, the square root of their number is fitted there, and each of these is cut
 #: again by a task. Two levels hold for some 10^10 vectors, at MAX_CELLS^2 cells of CELL_ROWS.
 SAMPLE_PER_CELL, MAX_CELLS = 48, 1024
-#: Rows that are routed to the cells of the second level at once.
-ROUTE_ROWS = 32_768
+#: Rows that are routed to the cells of the second level at once, and tasks the shards go to at most.
+ROUTE_ROWS, MAX_TASKS = 32_768, 20_000
 #: A vector also belongs to the next cells whose centroid is nearly as similar.
 CLOSURE, MAX_CELLS_OF_ROW = 0.05, 3
 #: Out-degree kept by pruning, slack before reverse edges are pruned, beam width, relaxation, queries a block.
@@ -528,7 +528,9 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
         parts = spark.createDataFrame([(i, s) for i, n in enumerate(cells.shards.tolist()) for s in range(n)], "cell int, shard int")
         offered = second.join(parts.hint("merge"), "cell")
         placed = placed.groupBy("cell", "shard").cogroup(offered.groupBy("cell", "shard")).applyInArrow(route, columns)
-    by_shard = placed.groupBy("cell", "sub", "shard").applyInArrow(search, empty)
+    # a task a shard or two: graphs are dear for their bytes, by which tasks would else be merged
+    shards = int(cells.shards.sum() if cells.split is None else cells.split.sum())
+    by_shard = placed.repartition(min(2 * shards, MAX_TASKS), "cell", "sub", "shard").groupBy("cell", "sub", "shard").applyInArrow(search, empty)
     # kept, as the lists are read twice and the graphs behind them are dear
     lists = cut(by_shard.groupBy("id").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(near)))), 1, {k})").alias("near")))
     return lists.unionByName(_further_copies(vectors, lists, carried))
