@@ -113,14 +113,14 @@ class Engine:
         units = unit_rows(self.spark, query, max_units)
         if units is None:
             return None
-        chunks = self.store.read("chunks")
-        kept = apply_filter(chunks, predicate)
+        at = self.store.state()  # all tables as of one commit
+        kept = apply_filter(self.store.read("chunks", at), predicate)
         asked = with_vectors(units, "query", self.embedder, "query_vector", query=True)
-        near = self._near(kept, asked, limit, predicate is not None)
+        near = self._near(kept, asked, limit, predicate is not None, at)
         # only the query's terms are read: postings are stored in term order, so the scan skips the rest
         asked_terms = sorted({w for r in units.collect() for w in words_of(r.query)})
-        postings = self.store.read("postings").where(F.col("term").isin(asked_terms))
-        facts = self.store.facts()
+        postings = self.store.read("postings", at).where(F.col("term").isin(asked_terms))
+        facts = self.store.facts(at)
         corpus = self.spark.createDataFrame([(facts.get("docs", 0), facts.get("words", 0) / max(facts.get("docs", 0), 1))], "docs bigint, avg_len double")
         index = lexical.LexicalIndex(postings.drop("source_id"), postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
         words = lexical.bm25_scores(index, units, kept if predicate else None)
@@ -133,12 +133,12 @@ class Engine:
             *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "rel_path", "heading_path", "captured", "source_type", "text")),
         )
 
-    def _near(self, kept: DataFrame, asked: DataFrame, limit: int, filtered: bool) -> DataFrame:
+    def _near(self, kept: DataFrame, asked: DataFrame, limit: int, filtered: bool, at: dict) -> DataFrame:
         """The vector leg: through the cells where there are any, else over all rows. A filter decides which
         rows count before any are ranked; with one, all that is left is compared exactly."""
-        if filtered or not self.store.exists("cells"):
+        if filtered or not self.store.exists("cells", at):
             return vector.nearest(kept, asked, limit)
-        return ann.probed(self.store.read("cells"), stored_cells(self.store), asked, limit)
+        return ann.probed(self.store.read("cells", at), stored_cells(self.store, at), asked, limit)
 
     def search(self, query: str, k: int = DEFAULT_K, predicate: str | None = None) -> DataFrame:
         """The k best hits, by cosine, however many are asked for; only the tool of ``serving`` limits k. A long

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.config import BM25_B, BM25_K1
-from quillmark.session import cut
+from quillmark.session import cut, spread
 
 
 def tokens(text: Column) -> Column:
@@ -138,7 +138,7 @@ def stream_best(docs: DataFrame, k: int, blocks: list[Bm25Block], unit_type: str
     """(unit, id, score): documents (id, text) stream by once a block of queries and are never shuffled; what
     leaves a batch is about k rows a unit."""
     spark = docs.sparkSession
-    worded = docs.select("id", tokens(F.col("text")).alias("words"))
+    worded = spread(docs.select("id", "text")).select("id", tokens(F.col("text")).alias("words"))
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"unit {unit_type}, id {kind}, score double"
     parts = []

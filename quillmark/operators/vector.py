@@ -16,7 +16,7 @@ from quillmark.functions.columns import cosine
 from quillmark.operators.embedders import HashEmbedder
 from quillmark.operators.ann import usable_matrix
 from quillmark.operators.lexical import ROWS_AT_ONCE, arrow_type, best_of, query_blocks, ranked, tokens
-from quillmark.session import cut
+from quillmark.session import cut, spread
 
 #: Query vectors compared with all rows at once; more go in further blocks.
 QUERIES_PER_BLOCK = 4096
@@ -126,7 +126,7 @@ def hash_best(docs: DataFrame, queries: DataFrame, k: int, dim: int = EMBED_DIM)
         asked = HashEmbedder(dim).embed([" ".join(t) for t in terms])
         blocks.append((units, asked))
     spark = docs.sparkSession
-    worded = docs.select("id", F.transform(tokens(F.col("text")), lambda w: hash_bucket(w, dim).cast("int")).alias("buckets"))
+    worded = spread(docs.select("id", "text")).select("id", F.transform(tokens(F.col("text")), lambda w: hash_bucket(w, dim).cast("int")).alias("buckets"))
     kind, unit_kind = docs.schema["id"].dataType.simpleString(), queries.schema["unit"].dataType.simpleString()
     schema = f"unit {unit_kind}, id {kind}, score double"
     parts = []

@@ -136,12 +136,12 @@ def _span_rows(store: SegmentStore, span) -> DataFrame:
     return store.spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(span) if a == a], TABLES["spans"])
 
 
-def stored_cells(store: SegmentStore) -> ann.Cells:
+def stored_cells(store: SegmentStore, at: dict | None = None) -> ann.Cells:
     """Centroids and spans; the spans of several commits add up, those of rows now dead only widen them."""
     import numpy as np
 
-    centroids = np.stack(store.read("centroids").orderBy("cell").toPandas()["centroid"].to_numpy())
+    centroids = np.stack(store.read("centroids", at).orderBy("cell").toPandas()["centroid"].to_numpy())
     span = np.full((len(centroids), 2), np.nan)
-    for r in store.read("spans").groupBy("cell").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect():
+    for r in store.read("spans", at).groupBy("cell").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect():
         span[r.cell] = r.least, r.most
     return ann.Cells(centroids, span)

@@ -4,7 +4,7 @@ A commit adds one segment of new rows to each table and one list of the sources
 replaces the pointer file in one step. So readers see all of a commit or nothing of it, nothing that is being read
 is overwritten, and what a commit writes depends on what changed, not on what is there. Segments of like size are
 merged eight at a time, so a row is written again a logarithmic number of times; dead rows leave with the merge.
-Files no pointer names stay until ``vacuum``. The pointer is read and written through Hadoop's file system, so any
+Files no pointer names stay until ``vacuum``. A warehouse has one writing process at a time. The pointer is read and written through Hadoop's file system, so any
 storage Spark can write to will do.
 """
 
@@ -60,20 +60,21 @@ class SegmentStore:
         finally:
             stream.close()
 
-    def exists(self, name: str) -> bool:
-        return name in self.state()["tables"]
+    def exists(self, name: str, at: dict | None = None) -> bool:
+        return name in (at or self.state())["tables"]
 
-    def facts(self) -> dict:
+    def facts(self, at: dict | None = None) -> dict:
         """Numbers kept up by commits: docs, words, fitted_rows."""
-        return self.state()["facts"]
+        return (at or self.state())["facts"]
 
     def rows(self, name: str) -> int:
         """Rows written to a table's segments, dead ones included."""
         return sum(p["rows"] for p in self.state()["tables"].get(name, []))
 
-    def read(self, name: str) -> DataFrame:
-        """The live rows; an empty table of the right schema if there are none."""
-        state = self.state()
+    def read(self, name: str, at: dict | None = None) -> DataFrame:
+        """The live rows; an empty table of the right schema if there are none. at: a state taken before, so that
+        several tables are read as of one commit."""
+        state = at or self.state()
         return self._live(name, state["tables"].get(name, []), state["dead"])
 
     def _live(self, name: str, parts: list[dict], dead: list[dict]) -> DataFrame:
