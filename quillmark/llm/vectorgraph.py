@@ -539,7 +539,7 @@ def nearest_lists(df: DataFrame, id_column: str, vector_column: str, k: int = 5,
 def _further_copies(vectors: DataFrame, lists: DataFrame, carried: int) -> DataFrame:
     """Lists of the ids that did not travel with their vector, because ``carried`` smaller ids have the same one.
     Copies may be most of all rows: they meet their count and the list they take over by broadcast."""
-    light = vectors.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+    light = cut(vectors.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")))  # vectors are hashed once
     often = light.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > carried).select("h1", "h2")
     rows = cut(join_unique(light, often, ["h1", "h2"], "left_semi").distinct())
     # the smallest of each of 64 parts, then of those: no task gathers a group
