@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.lookalikes import _second, canonical_array, connection
+from quillmark.llm.lookalikes import canonical_array, character_forms, connection
 from quillmark.operators.skew import HOT_ROWS, hot_keys
 from quillmark.session import cut, spread, table
 
@@ -292,8 +292,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = "regexp_extract_all(lower(form), '[\\p{L}\\p{N}]+')"
 _RUN = 12
 #: The words of both tables, by the checking SQL's own way to the one form.
-_TEXTS = f"""i as (select e.item_id k, {_WORDS.replace('form', 'f.form')} w from eval_items e join {_second('(select item_id doc_id, text from eval_items)')} f on f.doc_id = e.item_id and f.text = e.text),
-  d as (select d.doc_id k, {_WORDS.replace('form', 'f.form')} w from documents d join {_second('documents')} f on f.doc_id = d.doc_id and f.text = d.text)"""
+_TEXTS = f"""i as (select e.item_id k, {_WORDS.replace('form', 'f.form')} w from eval_items e join {character_forms('(select item_id doc_id, text from eval_items)')} f on f.doc_id = e.item_id and f.text = e.text),
+  d as (select d.doc_id k, {_WORDS.replace('form', 'f.form')} w from documents d join {character_forms('documents')} f on f.doc_id = d.doc_id and f.text = d.text)"""
 
 
 def _windows(of: str, n: int) -> str:

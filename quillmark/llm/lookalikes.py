@@ -21,11 +21,10 @@ from quillmark.session import cut, spread, table
 # Letters of other scripts, each followed by the Latin letter of the same look.
 CYRILLIC = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԌG ԚQ ԜW аa еe ѕs іi јj оo "
-    "УY рp сc уy хx һh ԁd ԛq ԝw ѵv ӏl ЁË ЇÏ ёë їï ӒÄ ӓä ӦÖ ӧö ӐĂ ӑă ӖĔ ӗĕ"
+    "УY рp сc уy хx һh ԁd ԛq ԝw ѵv ӏl"
 )
 GREEK = (
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ρp ϲc ϳj ͿJ ϹC ΌÓ όó ΆÁ "
-    "ΈÉ ΊÍ ΎÝ ΪÏ ΫŸ"
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ρp ϲc ϳj ͿJ ϹC"
 )
 ARMENIAN_AND_PHONETIC = (
     "ՍU ՕO օo սu ոn ցg ɡg ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs"
@@ -92,6 +91,21 @@ def lookalike_map() -> dict[str, str]:
     return {pair[0]: pair[1] for pair in pairs} | dict.fromkeys(HYPHENS, "-")
 
 
+@cache
+def accented_lookalikes() -> tuple[dict[str, str], dict[str, str]]:
+    """Composed letters of other scripts whose bare letter has a look-alike, with the same accents on that one, by the
+    Unicode data's own decompositions: those that become one character, and the others."""
+    looks = lookalike_map()
+    one: dict[str, str] = {}
+    more: dict[str, str] = {}
+    for code in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        apart = unicodedata.normalize("NFD", chr(code))
+        if len(apart) > 1 and apart[0] in looks and unicodedata.normalize("NFC", apart) == chr(code):
+            plain = unicodedata.normalize("NFC", looks[apart[0]] + apart[1:])
+            (one if len(plain) == 1 else more)[chr(code)] = plain
+    return one, more
+
+
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -112,6 +126,10 @@ def canonical_query(source: str, key: str, column: str) -> str:
     """DuckDB query for (key, form) of a source's key and text column."""
     one, more = presentation_forms()
     looks = lookalike_map()
+    accented, spelled = accented_lookalikes()
+    apart = "x"
+    for form, plain in spelled.items():
+        apart = f"replace({apart}, {_quote(form)}, {_quote(plain)})"
     long = "x"
     for form, plain in more.items():
         if ord(form) in _DRAWN_AS:
@@ -125,9 +143,11 @@ def canonical_query(source: str, key: str, column: str) -> str:
         when(f"regexp_matches(x, {_quote(_class(map(chr, range(0xE0020, 0xE0080))))})", rf"regexp_replace(x, '({FLAG})|[\x{{E0020}}-\x{{E007F}}]', '\1', 'g')"),
         when(f"regexp_matches(x, {_quote(_class(c for c in more if ord(c) in _DRAWN_AS))})", long),
         when(f"regexp_matches(x, {_quote(_class(one))})", f"translate(x, {_quote(''.join(one))}, {_quote(''.join(one.values()))})"),
-        "nfc_normalize(x)",  # composes accents, half-width marks included, before letters are exchanged
-        # an accent may then stand on a Latin letter
-        when(f"regexp_matches(x, {_quote(_class(looks))})", f"nfc_normalize(translate(x, {_quote(''.join(looks))}, {_quote(''.join(looks.values()))}))"),
+        # letters are exchanged with their accents still apart, where they are stored so; then all is composed
+        when(f"regexp_matches(x, {_quote(_class(looks))})", f"translate(x, {_quote(''.join(looks))}, {_quote(''.join(looks.values()))})"),
+        "nfc_normalize(x)",
+        when(f"regexp_matches(x, {_quote(_class(accented))})", f"translate(x, {_quote(''.join(accented))}, {_quote(''.join(accented.values()))})"),
+        when(f"regexp_matches(x, {_quote(_class(spelled))})", f"nfc_normalize({apart})"),
     ]
     query = f"select {key}, {steps[0]} as x from {source}"
     for step in steps[1:]:
@@ -226,9 +246,9 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 _KANA = "".join(map(chr, range(0xFF61, 0xFFA0)))
 
 
-def _chars(source: str) -> str:
+def character_forms(source: str) -> str:
     """(doc_id, text, form) by joining every character of every text with what it stands for."""
-    pairs = {c: unicodedata.normalize("NFKC", c) for c in (*_KANA, *map(chr, _DRAWN_AS), *map(chr, range(0x1D400, 0x1D800)))} | lookalike_map()
+    pairs = {c: unicodedata.normalize("NFKC", c) for c in (*_KANA, *map(chr, _DRAWN_AS), *map(chr, range(0x1D400, 0x1D800)))} | lookalike_map() | accented_lookalikes()[0] | accented_lookalikes()[1]
     values = ", ".join(f"({ord(c)}, {_quote(p)})" for c, p in pairs.items())
     return f"""(
   with pairs(code, plain) as (values {values}),
@@ -247,14 +267,8 @@ def _chars(source: str) -> str:
   union all select doc_id, text, '' from cut_ c where not exists (select 1 from plain p where p.doc_id = c.doc_id and p.text = c.text))"""
 
 
-def _second(source: str) -> str:
-    """Look-alikes that an accent was composed with are exchanged after composing, as in the operator."""
-    looks = lookalike_map()
-    return f"(select doc_id, text, nfc_normalize(translate(form, {_quote(''.join(looks))}, {_quote(''.join(looks.values()))})) form from {_chars(source)})"
-
-
 QUERIES = {"p8_found": p8_found, "p8_forms": p8_forms}
 SQL = {
-    "p8_found": f"with f as (select * from {_second('documents')}) select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id",
-    "p8_forms": f"select d.doc_id, f.form from documents d left join {_second('documents')} f on d.doc_id = f.doc_id and d.text = f.text",
+    "p8_found": f"with f as (select * from {character_forms('documents')}) select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id",
+    "p8_forms": f"select d.doc_id, f.form from documents d left join {character_forms('documents')} f on d.doc_id = f.doc_id and d.text = f.text",
 }

@@ -275,7 +275,7 @@ def forms(spark, texts):
     ("same", "as_"),
     [
         ("Ｆｕｌｌ　ｗｉｄｔｈ！", "Full width!"), ("ﬁne ﬂow", "fine flow"), ("été", "été"), ("раураl", "paypal"), ("ΑΒΕ", "ABE"),
-        ("a​b­c﻿", "abc"), ("Ⅳ ⅱ", "IV ii"), ("non\u2011stop", "non-stop"), ("ⲤᎪꓰ", "CAE"), ("ĳs ⼀", "ijs 一"), ("\U0001f468\u200b\u200d\U0001f469", "\U0001f468\u200d\U0001f469"), ("\U0001f44d\u200d\U0001f44d", "\U0001f44d\U0001f44d"), ("a\U000e0041b", "ab"), ("a b c\td", "a b c d"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("е́", "é"), ("a\r\nb", "a\nb"), ("❤️", "❤"),
+        ("a​b­c﻿", "abc"), ("Ⅳ ⅱ", "IV ii"), ("Tr\u0435\u0300\u0455", "Très"), ("\u0450 \u1f78", "è ò"), ("\u045e", "y\u0306"), ("\u0443\u0306", "y\u0306"), ("\u0439", "\u0438\u0306"), ("non\u2011stop", "non-stop"), ("ⲤᎪꓰ", "CAE"), ("ĳs ⼀", "ijs 一"), ("\U0001f468\u200b\u200d\U0001f469", "\U0001f468\u200d\U0001f469"), ("\U0001f44d\u200d\U0001f44d", "\U0001f44d\U0001f44d"), ("a\U000e0041b", "ab"), ("a b c\td", "a b c d"), ("ｶﾞ", "ガ"), ("ё", "ë"), ("е́", "é"), ("a\r\nb", "a\nb"), ("❤️", "❤"),
     ],
 )
 def test_same_look_same_form(spark, same, as_):
