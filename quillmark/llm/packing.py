@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts in a shard on average.
 SHARD_TEXTS = 4000
-#: Words are known by a hash of so many values, whose counts are broadcast (16 MB), whatever the vocabulary.
+#: Words are known by a hash of so many values, whose counts are broadcast (32 MB), whatever the vocabulary.
 WORD_CODES = 1 << 22
 #: Buckets of most telling words, by whose counts shards are laid out: what comes to the driver.
 TERM_BUCKETS = 1 << 16
