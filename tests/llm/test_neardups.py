@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -116,3 +117,40 @@ def test_sketch_distance_is_a_lower_bound():
         b = np.concatenate([a[k:], rng.integers(0, 2**63, k).astype(np.uint64)])
         s = N.sketches(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, 4)
         assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_rounds_bound_what_is_shuffled_at_once():
+    rng = np.random.default_rng(3)
+    share = rng.random(N.CODES) ** 8
+    plans = [N.plan_instance(b, own, high, 0.75, (share * texts).astype(np.int64), texts) for b, own, high, texts in ((0, 80, 99, 10_000), (1, 100, 119, 3_000_000), (2, 120, 139, 400_000))]
+    most = 1.5 * 5 * 100 * 3_410_000
+    assert sum(p.tasks * p.task_bytes() for p in plans) > 4 * most
+    rounds = N.plan_rounds(plans, most)
+    assert all(sum((s.last - s.first) * s.inst.task_bytes() for s in r) <= most for r in rounds)
+    done = [(s.inst.band, g, p) for r in rounds for s in r for g in s.groups() for p in range(*s.parts_of(g))]
+    assert len(done) == len(set(done)) and set(done) == {(i.band, g, p) for i in plans for g in range(i.groups) for p in range(i.parts)}
+
+
+@pytest.mark.parametrize("task", [{}, {"task_cost": 300}])
+def test_rounds_lose_no_pair_and_leave_no_shuffle(spark, task):
+    texts = collection(7)
+    df = spark.createDataFrame([(f"d{i:03d}", " ".join(t)) for i, t in enumerate(texts)], "id string, text string")
+    truth = sorted((f"d{i:03d}", f"d{j:03d}") for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) >= 0.75)
+    sets = N.cut(N.word_sets(df, "id", "text", 40))
+    plans = N.plan_index(sets, 40, 0.75, **{"task_cost": N.TASK_COST} | task)
+    most = sum(p.tasks * p.task_bytes() for p in plans) / 6
+    assert len(N.plan_rounds(plans, most)) >= 6
+    files = lambda: {f.getName() for f in _java_list(spark, spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle")}
+    before = files()
+    with N.dropped_shuffles(spark):
+        N.cut(df.repartition(5, "id").groupBy("text").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(map(tuple, N.near_duplicates(df, "id", "text", round_bytes=most, **task).pairs().collect())) == truth and len(truth) > 10
+
+
+def _java_list(spark, seq):
+    return list(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq))
