@@ -304,3 +304,36 @@ def test_only_small_scans_are_dealt_out(spark, small):
     assert spread(docs).rdd.getNumPartitions() >= cores and spread(docs).count() == docs.count()
     many = docs.repartition(3 * cores)
     assert spread(many)._jdf.equals(many._jdf) and spread(docs.groupBy("lang").count()).count() > 0
+
+
+def test_pruned_bm25_is_exact_and_leaves_most_postings_alone(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from quillmark.operators import lexical
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(400)], k=rng.randint(1, 60))) for _ in range(300)]
+    texts += texts[:20] * 6 + ["", None, "w0", "w0 w0 w0"] + [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts[20:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(3)
+    queries = docs.where("id % 7 = 0").selectExpr("id unit", "text query").union(spark.createDataFrame([(-1, "w0 unknown"), (-2, "unknown"), (-3, None)], "unit bigint, query string"))
+    for k in (1, 5, 500):
+        want = lexical.ranked(lexical.bm25_scores(lexical.build_lexical_index(docs), queries), k).collect()
+        for rows in (1 << 17, 50):
+            monkeypatch.setattr(lexical, "POSTING_ROWS", rows)
+            monkeypatch.setattr(lexical, "BOUND_ROWS", rows // 2)
+            got = lexical.ranked(lexical.bm25_pruned(docs, queries, k), k).collect()
+            key = lambda rs: sorted((r.unit, r.rank, r.id, round(r.score, 9)) for r in rs)
+            assert key(got) == key(want) and len(got) > 50 * min(k, 5)
+    # a unit whose copy is known needs the postings of few terms
+    n = 2000
+    rows, terms = np.repeat(np.arange(n), 8), np.array([[i % 1000 + 8, *range(7)] for i in range(n)]).ravel()
+    held = lexical.TermSets([[0]], [f"w{i}" for i in range(1008)], np.r_[np.full(8, 0.01), np.full(1000, 5.0)], np.array([0, 8]), np.arange(8), 8.0, 1.2, 0.75)
+    postings = lexical.Postings(rows, terms, np.full(n, 8.0), held)
+    gone = []
+    add = postings.add
+    monkeypatch.setattr(postings, "add", lambda score, some: (gone.extend(some), add(score, some)))
+    found, _ = postings.reaching(np.array([*range(7), 9]), float(postings.scores(np.array([1]), np.array([*range(7), 9]))[0]) - 1e-8)
+    assert found.tolist() == [1, 1001] and sum(postings.count[gone]) == 2
